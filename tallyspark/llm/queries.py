@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, held_out, score_texts, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import audio_column, wave_payload
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(text).cast("long").alias("n_bytes"))
+    payload, size = wave_payload(F.col("media"))
+    spans = F.concat_ws(" ", F.transform("spans", lambda s: F.concat_ws("-", s["start_s"].cast("string"), s["end_s"].cast("string"))))
+    return (
+        audio_column(docs).withColumn("payload", payload)
+        .select(
+            "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+            F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+            F.sha2("media", 256).alias("media_sha256"), F.concat_ws("|", F.sha2("log_mel", 256), spans).alias("feature"),
+        )
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_frequent_lines
 
@@ -30,6 +55,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
+    "op5_audio_features": op5_audio_features,
     "op7_line_dedup": op7_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
