@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, held_out, score_texts, train
 
@@ -42,6 +48,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_frequent_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     from .pieces import encode_texts
 
@@ -54,11 +66,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return encode_texts(docs, model).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file of its source's tree: two directory levels by the leading digits of its id."""
+    from .licenses import scan
+
+    digits = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    path = F.concat_ws("/", "source", F.substring(digits, 1, 9), F.substring(digits, 10, 2), digits)
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
     "op5_audio_features": op5_audio_features,
     "op7_line_dedup": op7_line_dedup,
+    "op8_url_filters": op8_url_filters,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_license_scan": op10_license_scan,
 }
 
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
