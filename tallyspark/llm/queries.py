@@ -16,6 +16,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import drop_repeats, words_digest
+
+    return words_digest(drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import THRESHOLD, held_out, score_texts, train
 
@@ -77,6 +83,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_audio_features": op5_audio_features,
     "op7_line_dedup": op7_line_dedup,
@@ -88,6 +95,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT doc_id, list_transform(generate_series(1, len(ws) - 12), lambda i: md5(array_to_string(list_slice(ws, i, i + 12), ' '))) AS g FROM w WHERE len(ws) >= 13),
+flat AS (SELECT doc_id, unnest(g) AS h, generate_subscripts(g, 1) AS pos FROM grams),
+firsts AS (SELECT h, min(doc_id) AS first FROM flat GROUP BY h),
+hit AS (SELECT flat.doc_id, flat.pos FROM flat JOIN firsts ON flat.h = firsts.h WHERE firsts.first < flat.doc_id),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM hit CROSS JOIN range(13) AS t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+kept AS (SELECT words.doc_id, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY words.pos) FILTER (gone.pos IS NULL) AS text
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
     "op7_line_dedup": f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 rows AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
