@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import compare_with_next, containment, fingerprint
+
+    both = compare_with_next(table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("own"), F.col("edited_sketch"), F.col("next_sketch")
+    return both.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"),
+        containment(own, edited).alias("near_edited"), F.coalesce(containment(own, following), F.lit(0.0)).alias("near_next"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -82,6 +94,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
