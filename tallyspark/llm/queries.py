@@ -59,6 +59,12 @@ def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_frequent_lines
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_audio_features": op5_audio_features,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_dedup": op7_line_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_sentencepiece": op9_sentencepiece,

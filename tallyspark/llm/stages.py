@@ -1,17 +1,53 @@
-"""The stages of the corpus pipeline, each around one operator."""
+"""The stages of the corpus pipeline, each around one operator with its production parameters.
+
+Every stage works on all rows of the one before; all but the last return the columns they got,
+with n_chars brought up to the text that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+#: Score from which the pipeline rejects a document; higher than the classifier's own threshold to spare clean documents.
+REJECT = 0.5
+
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, doesn't reject."""
+    from .toxicity import score_texts, train
+
+    return score_texts(docs, train(docs, table(spark, sf_dir, "labels"))).filter(F.col("score") < REJECT).drop("score")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their frequent lines; all documents stay."""
+    """All documents, without the lines that are in many of them."""
     from .lines import drop_frequent_lines
 
-    return drop_frequent_lines(docs).drop("n_lines", "n_dropped")
+    return drop_frequent_lines(docs).drop("n_lines", "n_dropped").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of exact and near copies, that with the smallest id."""
+    from .jaccard import keep_one
+
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that an earlier document has."""
+    from .substring import drop_repeats
+
+    return drop_repeats(docs).drop("n_words", "n_removed", "repeats").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, start, length, bin_id, place."""
+    from .packing import pack
+
+    return pack(docs)
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup), ("packing", packing)]
