@@ -7,6 +7,7 @@ prefix sums, then a bijective finaliser so that word hashes can be combined line
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -46,11 +47,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them: cuts the lineage and survives lost executors."""
+    """Writes the rows as Parquet in the shared folder and reads them: cuts the lineage and survives lost executors.
+
+    The shuffle files of the step are given back at once: Spark drops them when the driver's
+    garbage is collected, which on an idle driver may be long after.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallyspark_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``materialize`` result that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._tallyspark_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

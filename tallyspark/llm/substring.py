@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, gram_hashes, materialize
+from .common import Words, chunks, discard, gram_hashes, materialize
 
 GRAM, WINNOW = 5, 9
 WINDOW = GRAM + WINNOW - 1
@@ -112,9 +112,12 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
         .join(copies, "doc_id", "left_anti")
     )
-    found = texts.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_windows, "h1 long, h2 int, doc_id long, pos int")
-    firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first")
-    repeated = found.join(firsts, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    found = materialize(texts.join(seeds, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_windows, "h1 long, h2 int, doc_id long, pos int"))
+    discard(shared)
+    firsts = materialize(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first"))
+    repeated = materialize(found.join(firsts, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("pos").alias("starts")))
+    discard(found)
+    discard(firsts)
     return repeated, copies
 
 
