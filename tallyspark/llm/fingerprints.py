@@ -23,6 +23,7 @@ from .common import materialize
 
 SHINGLE, SCALE, SMALL = 5, 8, 64
 BELOW = -(1 << 63) + (1 << 64) // SCALE
+SKETCH = "struct<full: boolean, hashes: array<bigint>>"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -96,8 +97,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     edited: the last quarter of the text replaced by as much from the start of the next document.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", sketch(F.col("text")))
-    lengths = materialize(docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # both joins read this one exchange of the texts: the same columns, filter and key
+    texts = every.filter("doc_id is not null").withColumn("own", sketch(F.col("text")))
+    lengths = materialize(every.filter("doc_id is not null").select("doc_id", F.length("text").alias("n")))
     per_id = lengths.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     repeated = not per_id.filter("rows > 1").isEmpty()
     order = with_next(per_id.select("doc_id"))
@@ -105,11 +108,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     given = texts.join(asked.hint("merge"), "doc_id").select("previous", F.substring(F.col("text"), F.lit(1), F.col("taken")).alias("lead"), F.col("own").alias("next_sketch"), *([F.xxhash64("text").alias("h")] if repeated else []))
     if repeated:
         given = given.groupBy("previous").agg(F.min_by(F.struct("lead", "next_sketch"), "h").alias("x")).select("previous", "x.*")
+    nameless = every.filter("doc_id is null").select("doc_id", "text", sketch(F.col("text")).alias("own"), F.lit("").alias("lead"), F.lit(None).cast(SKETCH).alias("next_sketch"))
+    followed = texts.join(given.hint("merge"), F.col("doc_id") == F.col("previous")).select("doc_id", "text", "own", "lead", "next_sketch").unionAll(nameless)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.coalesce("lead", F.lit("")), F.lit(1), quarter))
-    return (
-        texts.join(given.hint("merge"), F.col("doc_id") == F.col("previous"), "left")
-        .select("doc_id", "text", "own", "next_sketch", edited.alias("edited"))
-        .withColumn("edited_sketch", sketch(F.col("edited")))
-    )
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("lead"), F.lit(1), quarter))
+    return followed.select("doc_id", "text", "own", "next_sketch", edited.alias("edited")).withColumn("edited_sketch", sketch(F.col("edited")))
