@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as keep them apart from all columns."""
+    taken, front = {c.lower() for c in columns}, "__"
+    while any(f"{front}{n}".lower() in taken for n in names):
+        front += "_"
+    return [f"{front}{n}" for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

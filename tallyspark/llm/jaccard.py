@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, gram_hashes, materialize, mix
+from .common import Words, chunks, gram_hashes, materialize, mix, spare
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 5, 32, 1e-6
@@ -222,17 +222,17 @@ def _with_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+def numbered(docs: DataFrame, rid: str = "rid") -> DataFrame:
     """docs with ``rid``, different in every row: the doc_id where that is so already."""
     found = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     if found["n"] == found["known"] and docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.withColumn("rid", F.col("doc_id").cast("long")), True
-    return materialize(docs.withColumn("rid", F.monotonically_increasing_id())), False
+        return docs.withColumn(rid, F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, rid, class_id (the smallest doc_id of its class) and n_links (documents of at least that similarity to it)."""
-    base, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return _near_duplicates(base, threshold)
 
 
@@ -275,13 +275,13 @@ def _near_duplicates(base: DataFrame, threshold: float) -> DataFrame:
     ids = base.select("rid", "doc_id").join(members, "rid").join(classes, "rep", "left").join(counts, "rep", "left")
     ids = ids.select("doc_id", "rid", F.coalesce("label", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     ids = materialize(ids)
-    named = ids.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("kept"))
+    named = materialize(ids.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("kept")))
     return ids.join(named, "class").select("doc_id", "rid", "class_id", "n_links", (F.col("rid") == F.col("kept")).alias("is_kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row with the smallest doc_id of each class (of equal ids the first one), with docs' columns."""
-    rows, _ = numbered(docs.withColumnRenamed("rid", "__rid") if "rid" in docs.columns else docs)
-    found = _near_duplicates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "rid"), threshold)
-    kept = rows.join(found.filter("is_kept").select("rid"), "rid", "left_semi").drop("rid")
-    return kept.withColumnRenamed("__rid", "rid").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (rid,) = spare(docs.columns, "rid")
+    rows = numbered(docs, rid)
+    found = _near_duplicates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(rid).alias("rid")), threshold)
+    return rows.join(found.filter("is_kept").select(F.col("rid").alias(rid)), rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

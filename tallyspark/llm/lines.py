@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, spare
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -222,7 +222,8 @@ def drop_frequent_lines(docs: DataFrame, counts: DataFrame | None = None, min_do
 
 def _drop_by_join(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
     """The same for any number of frequent keys: rows are numbered, lines joined, and drop lists joined back."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    row, gone_lines = spare(docs.columns, "row", "gone")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
 
     def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,13 +232,13 @@ def _drop_by_join(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataF
                 for j, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     if (key := line_key(line, min_chars)) is not None:
                         out.append((row, j, *halves(key)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["__row", "line", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["row", "line", "k1", "k2"])
 
     gone = (
-        numbered.select("__row", "text").mapInArrow(lines, "__row long, line long, k1 long, k2 long")
-        .join(frequent.select("k1", "k2"), ["k1", "k2"]).groupBy("__row").agg(F.collect_set("line").alias("__gone"))
+        numbered.select(row, "text").mapInArrow(lines, "row long, line long, k1 long, k2 long")
+        .join(frequent.select("k1", "k2"), ["k1", "k2"]).groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone_lines))
     )
-    joined = numbered.join(gone, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
+    joined = numbered.join(gone, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone_lines)
     at = docs.columns.index("text")
 
     def drop(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, discard, gram_hashes, materialize
+from .common import Words, chunks, discard, gram_hashes, materialize, spare
 
 GRAM, WINNOW = 5, 9
 WINDOW = GRAM + WINNOW - 1
@@ -105,7 +105,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = texts.mapInArrow(_anchors, "anchor long, doc_id long")
     once = texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("k1"), F.crc32(F.col("text").cast("binary")).alias("k2"), F.octet_length("text").alias("k3"))
-    first = keyed.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "k3", "first")
+    first = materialize(keyed.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("k1", "k2", "k3", "first"))
     copies = materialize(keyed.join(first, ["k1", "k2", "k3"]).filter("doc_id > first").select("doc_id").distinct().join(once, "doc_id", "left_anti"))
     shared = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     seeds = (
@@ -129,8 +129,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     repeated, copies = repeated_windows(docs)
     names = docs.columns
     flags = repeated.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copied")))
-    marks = flags.select(F.col("doc_id").alias("__doc"), F.col("starts").alias("__starts"), F.col("copied").alias("__copied"))
-    joined = docs.withColumn("__doc", F.col("doc_id").cast("long")).join(marks, "__doc", "left").select(*[F.col(f"`{c}`") for c in names], "__starts", "__copied")
+    doc, first, whole = spare(names, "doc", "starts", "copied")
+    marks = flags.select(F.col("doc_id").alias(doc), F.col("starts").alias(first), F.col("copied").alias(whole))
+    joined = docs.withColumn(doc, F.col("doc_id").cast("long")).join(marks, doc, "left").select(*[F.col(f"`{c}`") for c in names], first, whole)
     at = names.index("text")
     repeats = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spare
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Host words that label a url as junk for training; no feature sees words.
@@ -125,47 +127,50 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.start + sum(self._walk(t, bins) for t in self.trees))))
 
 
-def with_suffix_share(pages: DataFrame) -> DataFrame:
-    """pages with __host, __path and __share, the share of urls that end in the same host label."""
-    host, path = host_and_path(F.col("url"))
-    parts = pages.withColumns({"__host": host, "__path": path}).withColumn("__suffix", F.substring_index("__host", ".", -1))
-    counts = parts.groupBy("__suffix").agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return parts.join(counts.crossJoin(F.broadcast(total)), "__suffix", "left").withColumn("__share", F.col("__n") / F.col("__total")).drop("__n", "__total", "__suffix")
+def with_suffix_share(pages: DataFrame, host: str, path: str, share: str) -> DataFrame:
+    """pages with columns for host, path, and the share of urls that end in the same host label."""
+    suffix, n, total = spare([*pages.columns, host, path, share], "suffix", "n", "total")
+    found_host, found_path = host_and_path(F.col("url"))
+    parts = pages.withColumns({host: found_host, path: found_path}).withColumn(suffix, F.substring_index(host, ".", -1))
+    counts = parts.groupBy(suffix).agg(F.count("*").alias(n))
+    rows = counts.agg(F.sum(n).alias(total))
+    return parts.join(counts.crossJoin(F.broadcast(rows)), suffix, "left").withColumn(share, F.col(n) / F.col(total)).drop(n, total, suffix)
 
 
 def junk_label(host: Column) -> Column:
     return F.when(F.greatest(*[F.instr(host, word) for word in JUNK]) > 0, 1).otherwise(0)
 
 
-def train(parts: DataFrame, label: Column | None = None) -> BoostedTrees:
-    """Trees for rows of ``with_suffix_share``; label is 1, 0 or null (not used), by default the junk words' verdict on the host."""
-    label = junk_label(F.col("__host")) if label is None else label
-    known = parts.select("url", "__host", "__path", "__share", label.alias("__label")).filter("url is not null and __label is not null")
-    rows = known.groupBy("url", "__host", "__path").agg(F.max("__share").alias("__share"), F.max("__label").alias("__label")).orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED).collect()
-    y = np.array([r["__label"] for r in rows], float)
+def train(labelled: DataFrame) -> BoostedTrees:
+    """Trees for rows (url, host, path, share, label): label is 1, 0 or null (not used)."""
+    known = labelled.filter("url is not null and label is not null")
+    rows = known.groupBy("url", "host", "path").agg(F.max("share").alias("share"), F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED).collect()
+    y = np.array([r["label"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return BoostedTrees()
-    return BoostedTrees().fit(np.array([lexical(r["url"], r["__host"], r["__path"], r["__share"]) for r in rows], float), y)
+    return BoostedTrees().fit(np.array([lexical(r["url"], r["host"], r["path"], r["share"]) for r in rows], float), y)
 
 
 def judge(pages: DataFrame, rules=RULES, label: Column | None = None) -> DataFrame:
-    """pages with host, path, rule, junk_score and verdict."""
-    parts = with_suffix_share(pages)
-    sent = pages.sparkSession.sparkContext.broadcast(train(parts, label))
-    rule, ruled = apply_rules(F.col("__host"), F.col("__path"), rules)
-    marked = parts.withColumns({"__rule": rule, "__ruled": ruled})
+    """pages with host, path, rule, junk_score and verdict; label, by default the junk words' verdict on the host, trains the trees."""
+    host, path, share, rule, ruled = spare(pages.columns, "host", "path", "share", "rule", "ruled")
+    parts = with_suffix_share(pages, host, path, share)
+    label = junk_label(F.col(host)) if label is None else label
+    trained = train(parts.select("url", F.col(host).alias("host"), F.col(path).alias("path"), F.col(share).alias("share"), label.alias("label")))
+    sent = pages.sparkSession.sparkContext.broadcast(trained)
+    found, verdict = apply_rules(F.col(host), F.col(path), rules)
+    marked = parts.withColumns({rule: found, ruled: verdict})
     added = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("junk_score", T.DoubleType()), ("verdict", T.StringType())]
     kept = [f for f in pages.schema.fields if f.name not in dict(added)]
 
     def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = sent.value
         for batch in batches:
-            x = np.array([lexical(*row) for row in zip(batch["url"], batch["__host"], batch["__path"], batch["__share"].fillna(0.0))], float).reshape(-1, len(FEATURES))
+            x = np.array([lexical(*row) for row in zip(batch["url"], batch[host], batch[path], batch[share].fillna(0.0))], float).reshape(-1, len(FEATURES))
             out = batch[[f.name for f in kept]].copy()
-            out["host"], out["path"], out["rule"] = batch["__host"], batch["__path"], batch["__rule"]
+            out["host"], out["path"], out["rule"] = batch[host], batch[path], batch[rule]
             out["junk_score"] = trees.predict(x)
-            out["verdict"] = batch["__ruled"].where(batch["__ruled"].notna(), np.where(out["junk_score"] >= 0.5, "block", "allow"))
+            out["verdict"] = batch[ruled].where(batch[ruled].notna(), np.where(out["junk_score"] >= 0.5, "block", "allow"))
             yield out
 
     return marked.mapInPandas(score, T.StructType([*kept, *[T.StructField(n, t) for n, t in added]]))
