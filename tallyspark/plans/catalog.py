@@ -502,3 +502,6 @@ def jpeg_headers(spark, sf_dir):
     read = jpeg.with_headers(jpeg.synthesize(photos)).join(photos.select("id", "quality_estimate"), "id")
     near = F.when(F.abs(blocks.estimate_quality(F.col("table")) - F.col("quality_estimate")) <= 1, F.col("quality_estimate"))
     return read.select("id", "kind", "width", "height", "bits", "components", "orientation", "has_marker", "embedded", near.alias("near_quality"))
+
+
+from . import extra  # noqa: E402,F401  registers more queries
