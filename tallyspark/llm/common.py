@@ -54,17 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them: cuts the lineage and survives lost executors.
 
-    The shuffle files of the step are given back at once: Spark drops them when the driver's
-    garbage is collected, which on an idle driver may be long after.
+    Unless ``release`` is false, the shuffle files of the step are given back at once: Spark drops
+    them when the driver's garbage is collected, which on an idle driver may be long after.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyspark_path = path
     return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, gram_hashes, materialize, mix, spare
+from .common import Words, chunks, discard, gram_hashes, materialize, mix, spare
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 5, 32, 1e-6
@@ -128,20 +128,25 @@ def _prune(threshold: float):
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest id that each node of (a, b) edges can reach."""
+    """(node, label): the smallest id that each node of (a, b) edges can reach.
+
+    Minima are written out before they are joined, so that Spark can split the edges of a hub.
+    """
     current = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    before = None
-    while True:
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    before = mark(current)
+    while before[0]:
         # large star: neighbours above a node go to its smallest neighbour
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = materialize(both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct())
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), release=False)
+        large = materialize(both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct(), release=False)
         # small star: neighbours below a node, and itself, go to the smallest of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = materialize(large.groupBy("b").agg(F.min("a").alias("m")), release=False)
         small = large.join(least, "b")
-        current = materialize(small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionAll(small.select(F.col("m").alias("a"), "b")).filter("a < b").distinct())
-        state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
+        done, current = current, materialize(small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionAll(small.select(F.col("m").alias("a"), "b")).filter("a < b").distinct(), release=False)
+        for used in (done, low, large, least):
+            discard(used)
+        if (state := mark(current)) == before:
             break
         before = state
     return current.select(F.col("b").alias("node"), F.col("a").alias("label")).unionAll(current.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
@@ -276,6 +281,8 @@ def _near_duplicates(base: DataFrame, threshold: float) -> DataFrame:
     ids = ids.select("doc_id", "rid", F.coalesce("label", "rep").alias("class"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     ids = materialize(ids)
     named = materialize(ids.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("kept")))
+    for used in (sigs, equal, buckets, groups, dealt, checked):
+        discard(used)
     return ids.join(named, "class").select("doc_id", "rid", "class_id", "n_links", (F.col("rid") == F.col("kept")).alias("is_kept"))
 
 
