@@ -46,7 +46,7 @@ class Ledger:
         before, state = self.current(), uuid.uuid4().hex
         for name in TABLES:
             df = tables.get(name)
-            if df is None and before is not None:
+            if df is None and before is not None and self._fs.exists(self._path(f"{self.root}/{before}/{name}")):
                 df = self.read(name)
             if df is not None:
                 df.write.parquet(f"{self.root}/{state}/{name}")
