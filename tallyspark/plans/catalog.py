@@ -489,6 +489,8 @@ def _work(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
     import tempfile
 
     return tempfile.mkdtemp(prefix="tallyspark-stream-")
