@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 RATE, DOWN, TAPS = 8000, 2, 32
 FRAME, HOP, BANDS, PATCH = 256, 128, 24, 32
 FLOOR = 1e-6
@@ -173,7 +175,7 @@ def audio_column(docs: DataFrame, column: str = "text") -> DataFrame:
                 new = [pa.array(media, pa.binary()), pa.array(tensors, pa.binary()), pa.array(active, spans)]
                 yield pa.RecordBatch.from_arrays([*kept, *new], [*(f.name for f in others), *(f.name for f in FIELDS)])
 
-    return docs.mapInArrow(make, schema)
+    return small_batches(docs).mapInArrow(make, schema)
 
 
 def wave_payload(media) -> tuple[object, object]:

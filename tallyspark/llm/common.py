@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text hashed at once; bounds the temporary arrays of one Python worker.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text hashed at once and rows of one Arrow batch; they bound what one Python worker holds.
+CHUNK_BYTES, BATCH_ROWS = 1 << 18, 1000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -54,6 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after making sure that its session sends Python workers at most BATCH_ROWS rows at once: rows are whole texts here."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them: cuts the lineage and survives lost executors.
 

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, discard, gram_hashes, materialize, mix, spare
+from .common import Words, chunks, discard, gram_hashes, materialize, mix, small_batches, spare
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 5, 32, 1e-6
 HASHES = BANDS * ROWS
 #: Largest bucket whose pairs are listed; texts and shingles of one side of a block; texts of a task of small groups.
-SMALL, BLOCK, BLOCK_SHINGLES, TASK = 32, 1024, 2_000_000, 2000
+SMALL, BLOCK, BLOCK_SHINGLES, TASK = 32, 512, 1_000_000, 1000
 
 _RANDOM = np.random.Generator(np.random.PCG64(80))
 _FACTORS = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -152,7 +152,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("label")).unionAll(current.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def overlaps(sets: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
     """Sizes of all intersections of sorted sets."""
     m = len(sets)
     if m == 2:
@@ -207,7 +207,7 @@ def _verify(threshold: float):
             found = linked([np.asarray(s, np.int64) for s in group["shingles"]], threshold)
             if i != j:
                 found &= side[:, None] != side
-            links = found @ copies
+            links = np.array([copies[row].sum() for row in found])
             for x in np.flatnonzero(links):
                 kind.append(0), a.append(ids[x]), b.append(0), n.append(links[x])
             for x, y in forest(found):
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _near_duplicates(base: DataFrame, threshold: float) -> DataFrame:
-    sigs = materialize(base.select("rid", "text").mapInArrow(_signatures, "rid long, k1 long, k2 long, n int, sig binary, bands array<long>"))
+    sigs = materialize(small_batches(base).select("rid", "text").mapInArrow(_signatures, "rid long, k1 long, k2 long, n int, sig binary, bands array<long>"))
     equal = materialize(sigs.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")))
     members = sigs.select("rid", "k1", "k2").join(equal, ["k1", "k2"]).select("rid", "rep", "copies")
     reps = equal.select(F.col("rep").alias("rid"), "copies")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spare
+from .common import materialize, small_batches, spare
 
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -120,7 +120,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 found.extend(halves(k) for k in {line_key(line, min_chars) for line in raw.split(b"\n")} if k is not None)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)], ["k1", "k2"])
 
-    return docs.select("text").mapInArrow(keys, "k1 long, k2 long").groupBy("k1", "k2").agg(F.count("*").alias("n_docs"))
+    return small_batches(docs).select("text").mapInArrow(keys, "k1 long, k2 long").groupBy("k1", "k2").agg(F.count("*").alias("n_docs"))
 
 
 def merge_counts(counts: DataFrame, added: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
@@ -186,6 +186,7 @@ def drop_frequent_lines(docs: DataFrame, counts: DataFrame | None = None, min_do
     executors while there are at most ``shipped_keys`` frequent keys; beyond it lines meet
     the table in a join on the key, whose skewed partitions Spark splits.
     """
+    small_batches(docs)
     counts = materialize(line_counts(docs, min_chars)) if counts is None else counts
     frequent = counts.filter(F.col("n_docs") >= min_docs)
     n = frequent.count()

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MARK = "▁"
 #: Segments remembered by one Python worker; the table is emptied when full.
 REMEMBERED = 400_000
@@ -180,4 +182,4 @@ def encode_texts(docs: DataFrame, model: str, check_every: int = CHECK_EVERY) ->
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raw), np.int32)))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lengths), lists, pa.array(decoded, pa.string())], schema.names)
 
-    return docs.mapInArrow(encode, schema)
+    return small_batches(docs).mapInArrow(encode, schema)

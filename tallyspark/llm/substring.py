@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, discard, gram_hashes, materialize, spare
+from .common import Words, chunks, discard, gram_hashes, materialize, small_batches, spare
 
 GRAM, WINNOW = 5, 9
 WINDOW = GRAM + WINNOW - 1
@@ -101,7 +101,7 @@ def spans(gone: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, starts: the first words of repeated windows), (doc_id of exact copies of an earlier text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     anchors = texts.mapInArrow(_anchors, "anchor long, doc_id long")
     once = texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("k1"), F.crc32(F.col("text").cast("binary")).alias("k2"), F.octet_length("text").alias("k3"))

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MAX_TOXIC, MAX_ORDINARY = 3000, 6000
 #: A document is rejected from this score on.
 THRESHOLD = 0.3
 LEVEL, CARRIER_BYTES, ORDINARY_WORDS, TOXIC_WORDS = 12, 96, 4000, 600
 #: Words remembered by one Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def held_out(doc_id) -> F.Column:
@@ -158,4 +160,4 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                 scores = [windows.score(t) if windows else sent.value.base for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
