@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory.
 
-Terms are the templates' words without stop words; document frequencies come from all files,
-and words outside the templates count as unseen ones in a line's norm.  A file's own license
+Terms are words without stop words.  A word weighs by the share of all files that have it, in
+templates and files alike, so that equal mixes of files give equal cosines however many
+they are; only files with a word of the templates are taken apart.  A file's own license
 is that of its best line (a header) if the cosine reaches ``HEADER``; a file whose whole text
 reaches ``WHOLE`` licenses its directory; a file without an own license takes that of the
 nearest directory above it that has one.  Only DataFrame functions are used.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,6 +32,8 @@ TEMPLATES = {
 }
 STOP = ["a", "an", "and", "any", "are", "be", "by", "except", "for", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "with", "you", "can", "use", "work"]
 HEADER, WHOLE = 0.6, 0.08
+#: Share of files added to that of every word, so that words of no file have a weight too: the smoothing by one file of a thousand.
+RARE = 0.001
 _SPLIT = "[^a-z0-9]+"
 
 
@@ -53,7 +56,17 @@ def terms_of(text: Column) -> Column:
 
 
 def idf(n_docs: Column, df: Column) -> Column:
-    return F.log((n_docs + 1) / (df + 1)) + 1
+    """Weight of a word by the share of files that have it: the number of files by itself changes nothing."""
+    return F.log((1 + RARE) / (df / n_docs + RARE)) + 1
+
+
+def document_frequencies(files: DataFrame) -> tuple[DataFrame, int]:
+    """(term, df) of every word of all files, and the number of files (1 at least); rows of one id are one file."""
+    per_id = files.groupBy("doc_id").agg(F.count("*").alias("rows")).agg(F.count("*").alias("files"), F.max("rows").alias("most")).first()
+    seen = files.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _SPLIT))).alias("term"))
+    if (per_id["most"] or 0) > 1:
+        seen = seen.distinct()
+    return materialize(seen.groupBy("term").agg(F.count("*").alias("df"))), max(1, per_id["files"])
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -61,43 +74,45 @@ def own_licenses(files: DataFrame) -> DataFrame:
     spark: SparkSession = files.sparkSession
     rows = template_rows()
     vocabulary = F.array(*[F.lit(w) for w in sorted({r[2] for r in rows})])
-    templates = spark.createDataFrame(rows, "license string, template int, term string, n int")
-    # a text or line without a term of the templates has cosine 0, so only the others are taken apart
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = (
+    frequency, n_docs = document_frequencies(files)
+    known = {r["term"]: r["df"] for r in frequency.filter(F.col("term").isin(sorted({r[2] for r in rows}))).collect()}
+    templates = spark.createDataFrame([(*r, known.get(r[2], 0)) for r in rows], "license string, template int, term string, n int, df long").withColumn("w", F.col("n") * idf(F.lit(n_docs), F.col("df")))
+    names = sorted({(r[0], r[1]) for r in rows})
+    norms = templates.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
+    unit = templates.join(F.broadcast(norms), ["license", "template"]).withColumn("u", F.col("w") / F.col("t_norm"))
+    sparse = F.broadcast(unit.groupBy("term").agg(*[F.sum(F.when((F.col("license") == name) & (F.col("template") == number), F.col("u")).otherwise(0.0)).alias(f"u{i}") for i, (name, number) in enumerate(names)]))
+    # a text without a term of the templates has cosine 0, so only the others are taken apart; equal lines of a file are one, with a multiple of its counts
+    counted = (
         files.filter(F.arrays_overlap(F.split(F.lower("text"), _SPLIT), vocabulary))
-        .select("doc_id", F.size(terms_of(text)).alias("n_terms"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-        .withColumn("terms", terms_of(F.col("raw")))
-        .withColumn("known", F.filter("terms", lambda w: F.array_contains(vocabulary, w)))
+        .select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", F.xxhash64("raw").alias("line"), F.explode(terms_of(F.col("raw"))).alias("term"))
+        .groupBy("doc_id", "line", "term").agg(F.count("*").alias("tf"))
     )
-    hits = materialize(lines.filter(F.size("known") > 0).select("doc_id", "line", "known", (F.size("terms") - F.size("known")).alias("unseen"), "n_terms"))
-    frequency = (
-        hits.select("doc_id", F.explode(F.array_distinct("known")).alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    weights = frequency.select("term", idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    in_file = Window.partitionBy("doc_id", "term")
+    # counts are written out before they meet the weights, so that Spark can split a hot word; all further steps stay on the partitions of doc_id
+    dealt = materialize(counted).join(weights, "term").repartition("doc_id")
+    both = (
+        dealt.withColumns({"all": F.sum("tf").over(in_file), "at": F.row_number().over(in_file.orderBy("line"))})
+        .join(sparse, "term", "left")
+        .select("doc_id", "line", (F.col("tf") * F.col("idf")).alias("w"), F.when(F.col("at") == 1, F.col("all") * F.col("idf")).otherwise(0.0).alias("f"), *[F.coalesce(f"u{i}", F.lit(0.0)).alias(f"u{i}") for i in range(len(names))])
     )
-    total = files.select(F.count("*").alias("n_docs"))
-    weights = (
-        templates.select("term").distinct().join(F.broadcast(frequency), "term", "left").crossJoin(F.broadcast(total))
-        .select("term", idf(F.col("n_docs"), F.coalesce("df", F.lit(0))).alias("idf"), idf(F.col("n_docs"), F.lit(0)).alias("unseen_idf"))
+    sums = [F.sum(F.col(x) * F.col(x)).alias(f"{x}_norm") for x in ("w", "f")] + [F.sum(F.col(x) * F.col(f"u{i}")).alias(f"{x}{i}") for x in ("w", "f") for i in range(len(names))]
+    by_line = both.groupBy("doc_id", "line").agg(*sums)
+    best = (
+        by_line.withColumn("header", _best("w", names)).groupBy("doc_id")
+        .agg(F.max("header").alias("header"), F.sum("f_norm").alias("f_norm"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(names))])
+        .select("doc_id", "header", _best("f", names).alias("whole"))
     )
-    weighted = templates.join(F.broadcast(weights), "term").withColumn("w", F.col("n") * F.col("idf"))
-    norms = weighted.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    sparse = F.broadcast(weighted.join(F.broadcast(norms), ["license", "template"]).groupBy("term").agg(F.first("idf").alias("idf"), F.first("unseen_idf").alias("unseen_idf"), F.collect_list(F.struct("license", "template", (F.col("w") / F.col("t_norm")).alias("u"))).alias("postings")))
-    counted = hits.select("doc_id", "line", "unseen", F.explode("known").alias("term")).groupBy("doc_id", "line", "unseen", "term").agg(F.count("*").alias("tf"))
-    headers = _best(counted, sparse, ["doc_id", "line", "unseen"], F.col("unseen")).groupBy("doc_id").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", F.col("order"))).alias("best"))
-    in_file = counted.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
-    unseen = hits.groupBy("doc_id").agg((F.max("n_terms") - F.sum(F.size("known"))).alias("unseen"))
-    wholes = _best(in_file.join(unseen, "doc_id"), sparse, ["doc_id", "unseen"], F.col("unseen")).groupBy("doc_id").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", F.col("order"))).alias("best"))
-    return headers.select("doc_id", F.lit("header").alias("kind"), "best.*").unionByName(wholes.select("doc_id", F.lit("whole").alias("kind"), "best.*"))
-
-
-def _best(counted: DataFrame, sparse: DataFrame, keys: list[str], unseen: Column) -> DataFrame:
-    """Cosines of term counts to every template that shares a term; ``order`` is larger for licenses that sort first."""
-    joined = counted.join(sparse, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = joined.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first(unseen) * F.pow(F.first("unseen_idf"), 2)).alias("norm"))
-    dots = joined.select(*keys, "w", F.explode("postings").alias("p")).groupBy(*keys, "p.license", "p.template").agg(F.sum(F.col("w") * F.col("p.u")).alias("dot"))
+    best = materialize(best.filter("header is not null"))
+    return best.select("doc_id", F.lit("header").alias("kind"), "header.license", "header.cosine").unionByName(best.select("doc_id", F.lit("whole").alias("kind"), "whole.license", "whole.cosine"))
+
+
+def _best(x: str, names: list[tuple[str, int]]) -> Column:
+    """struct(cosine, order, license) of the template nearest to the sums of ``x``; ``order`` is larger for licenses that sort first; null without a shared term."""
     rank = {name: -i for i, name in enumerate(sorted(TEMPLATES))}
-    order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    return dots.join(norm, keys).select(*keys, "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), order[F.col("license")].alias("order"))
+    norm = F.sqrt(F.col(f"{x}_norm"))
+    found = [F.when(F.col(f"{x}{i}") > 0, F.struct(F.round(F.col(f"{x}{i}") / norm, 9).alias("cosine"), F.lit(rank[name]).alias("order"), F.lit(name).alias("license"))) for i, (name, _) in enumerate(names)]
+    return F.greatest(*found)
 
 
 def ancestors(path: Column) -> Column:

@@ -436,6 +436,30 @@ def test_license_scan_matches_brute_force(spark, none):
     assert licenses.scan(files.filter("false")).count() == 0
 
 
+def test_licenses_do_not_depend_on_corpus_size(spark):
+    texts = ["Released by Acme under the MIT License", "Licensed under the Apache License, Version 2.0", "MIT License", prose(11, 40) + "\nReleased under the MIT License."]
+    texts += [prose(20 + i, 30) for i in range(36)]
+    got = []
+    for copies in (1, 50):
+        files = spark.createDataFrame([(c * len(texts) + i, f"c{c}/{i:02}/x", t) for c in range(copies) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+        got.append([(r.doc_id % len(texts), r.own_license, r.cosine, r.license) for r in licenses.scan(files).collect()])
+    assert set(got[0]) == set(got[1]) and len(got[1]) == 50 * len(got[0])
+    # every word of all files has its own document frequency, and counts enter the norm squared
+    df = collections.Counter(w for t in texts for w in set(licenses.words(t)))
+    idf = lambda w: np.log((1 + licenses.RARE) / (df[w] / len(texts) + licenses.RARE)) + 1
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.kind): (r.license, r.cosine) for r in licenses.own_licenses(files).collect()}
+    for i, text in enumerate(texts[:4]):
+        for kind, parts in (("header", text.split("\n")), ("whole", [text])):
+            best = (0.0, "")
+            for part, (name, template) in itertools.product(parts, [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]):
+                a, b = (collections.Counter(licenses.words(x)) for x in (part, template))
+                norm = lambda c: np.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))
+                best = max(best, (sum(n * b[w] * idf(w) ** 2 for w, n in a.items()) / (norm(a) * norm(b)), name))
+            assert found[i, kind] == (best[1], pytest.approx(best[0], abs=1e-6))
+    assert len(found) == 8
+
+
 # pipeline
 
 
