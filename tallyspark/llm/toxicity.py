@@ -5,7 +5,9 @@ tiny windows above zstandard's smallest gain.  A window's lengths under both dic
 and its own length pick a cell; calibration turns cells into log odds and a document's
 largest log odds into a probability.  The model is fitted on a bounded sample
 (``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents with the smallest id hashes): one
-half makes the dictionaries, the other calibrates; scoring reads every whole text.
+half makes the dictionaries, the other calibrates; scoring reads every whole text.  The labels
+are capped apart, so the intercept is moved from the sample's share of label 1 to that of all
+labelled documents outside the held-out quarter: a score means the same at every size.
 
 Defined results: null, empty and blank texts have no windows and get the score of a document
 without evidence; equal texts get equal scores; without labels of both kinds every score is
@@ -91,9 +93,14 @@ class Windows:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, w[0] + w[1] * x[0] + w[2] * x[1] + w[3] * x[2]))))
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """Model of (text, label) rows; every second row of each label calibrates."""
-    base = sum(y for _, y in rows) / len(rows) if rows else 0.0
+def fit(rows: list[tuple[str | None, int]], shares: tuple[int, int] | None = None) -> Model:
+    """Model of (text, label) rows; every second row of each label calibrates.
+
+    shares: how many documents have label 0 and 1 where the rows are a sample by label; by default the rows' own numbers.
+    """
+    ones = sum(y for _, y in rows)
+    everywhere = shares or (len(rows) - ones, ones)
+    base = everywhere[1] / sum(everywhere) if sum(everywhere) else 0.0
     halves: list[list[tuple[str | None, int]]] = [[], []]
     seen: Counter[int] = Counter()
     for text, y in rows:
@@ -133,6 +140,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + prior, x.T @ (p - y) + prior @ w)
+    w[0] += math.log(everywhere[1] / everywhere[0]) - math.log(seen[1] / seen[0])
     model.weights = tuple(float(v) for v in w)
     return model
 
@@ -143,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     ids = known.filter("label = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).unionAll(known.filter("label = 0").orderBy(order, "doc_id").limit(MAX_ORDINARY))
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").limit(MAX_TOXIC + MAX_ORDINARY)
-    return fit([(r["text"], r["label"]) for r in sample.collect()])
+    totals = {r["label"]: r["n"] for r in docs.select("doc_id").join(known, "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    return fit([(r["text"], r["label"]) for r in sample.collect()], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

@@ -202,6 +202,25 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score_texts(odd, toxicity.train(none, marks)).collect()} == {0.0}
 
 
+def test_toxicity_scores_keep_the_share_of_all_labels(spark, monkeypatch):
+    rng = random.Random(40)
+    texts, labels = [], []
+    for i in range(2400):
+        toxic = i % 8 == 0
+        w = prose(i, 40, 300).split()
+        if rng.random() < (0.7 if toxic else 0.08):
+            w.insert(rng.randrange(40), rng.choice(["idiot", "vermin", "worthless"]))
+        texts.append(" ".join(w)), labels.append((i, 1, int(toxic)))
+    docs, marks = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_ORDINARY", 220)
+    model = toxicity.train(docs, marks)
+    scores = [r.score for r in toxicity.score_texts(docs, model).collect()]
+    assert np.mean(scores) == pytest.approx(1 / 8, abs=0.04)
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 0)
+    known = [y for i, _, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert toxicity.train(docs, marks).base == sum(known) / len(known)
+
+
 # 5
 
 
