@@ -1,13 +1,14 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, by DataFrame functions only.
 
 A fingerprint keeps every hash of a ``SHINGLE``-word shingle that lies in the lowest
-1/``SCALE`` of the hash range; texts of at most ``SMALL`` shingles keep all of them (scale 1).
+1/``SCALE`` of the hash range; texts of at most ``SMALL`` different shingles keep all of them (scale 1).
 Sketches of one scale merge by union, and the share of one sketch that is in another one,
 both cut to the coarser scale, estimates containment however unequal the texts are.
 
 Words are runs of characters outside ``[\\x20\\x09-\\x0D]``.  Defined results: null counts as
 empty; a text without words has an empty sketch, one of fewer words than a shingle has the
 hash of all its words; two empty sketches are alike (1), an empty and another one are not (0);
+a sketch that scaling down left empty is in another one by an unknown share (null);
 rows of equal doc_id share the next document, of which the row with the smallest text hash
 counts; a null doc_id has no next document; a single document is followed by itself.
 """
@@ -42,11 +43,11 @@ def sketch(text: Column) -> Column:
     def shingled(h: Column) -> Column:
         n = F.size(h) - (SHINGLE - 1)
         all_hashes = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k if k else i) for k in range(SHINGLE)]))
-        return (
-            F.when(n < 1, F.struct(F.lit(True).alias("full"), F.array(F.xxhash64(h)).alias("hashes")))
-            .when(n <= SMALL, F.struct(F.lit(True).alias("full"), F.array_sort(F.array_distinct(all_hashes)).alias("hashes")))
-            .otherwise(F.struct(F.lit(False).alias("full"), F.array_sort(F.array_distinct(F.filter(all_hashes, lambda x: x < BELOW))).alias("hashes")))
-        )
+        return F.when(n < 1, F.struct(F.lit(True).alias("full"), F.array(F.xxhash64(h)).alias("hashes"))).otherwise(bound(F.array_distinct(all_hashes), scaled))
+
+    def scaled(found: Column) -> Column:
+        small = F.size(found) <= SMALL
+        return F.struct(small.alias("full"), F.array_sort(F.when(small, found).otherwise(F.filter(found, lambda x: x < BELOW))).alias("hashes"))
 
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(trimmed == "", F.struct(F.lit(True).alias("full"), none.alias("hashes"))).otherwise(retained(F.split(trimmed, r"[\x20\x09-\x0D]+")))
@@ -63,7 +64,7 @@ def at_scale(s: Column, full: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1."""
+    """Estimated share of a's shingles that b has, 0 to 1; null if a has shingles, but none at its scale."""
 
     def share(x: Column, y: Column) -> Column:
         return F.when(F.size(x) == 0, (F.size(y) == 0).cast("double")).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
@@ -71,7 +72,7 @@ def containment(a: Column, b: Column) -> Column:
     full = a["full"] & b["full"]
     fine = share(at_scale(a, full), at_scale(b, full))
     # a small text may have nothing left at the coarser scale: then all its hashes are looked up
-    return F.when(~full & a["full"] & (F.size(at_scale(a, full)) == 0), share(a["hashes"], b["hashes"])).otherwise(fine)
+    return F.when(~a["full"] & (F.size(a["hashes"]) == 0), F.lit(None).cast("double")).when(~full & a["full"] & (F.size(at_scale(a, full)) == 0), share(a["hashes"], b["hashes"])).otherwise(fine)
 
 
 def fingerprint(s: Column) -> Column:

@@ -18,7 +18,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"),
-        containment(own, edited).alias("near_edited"), F.coalesce(containment(own, following), F.lit(0.0)).alias("near_next"),
+        containment(own, edited).alias("near_edited"), F.when(following.isNull(), 0.0).otherwise(containment(own, following)).alias("near_next"),
     )
 
 

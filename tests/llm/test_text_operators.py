@@ -95,6 +95,16 @@ def test_fingerprints(spark, odd, none, monkeypatch):
     assert set(got.m.hashes) == set(got.a.hashes) | {x for x in got.b.hashes if x < fingerprints.BELOW}
 
 
+def test_few_different_shingles_stay_whole(spark):
+    texts = [" ".join(w.split() * 30) for w in ("a b c d e f", "g h i j k l m", "n o p q r s t u")]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(fingerprints.sketch(F.col("text")).alias("s")).collect()
+    assert [(r.s.full, len(r.s.hashes)) for r in got] == [(True, len(shingle_set(t))) for t in texts]
+    a, b = (fingerprints.sketch(F.lit(t)) for t in texts[:2])
+    empty = F.struct(F.lit(False).alias("full"), F.array().cast("array<bigint>").alias("hashes"))
+    row = spark.range(1).select(fingerprints.containment(a, b).alias("x"), fingerprints.containment(a, a).alias("y"), fingerprints.containment(empty, empty).alias("z")).first()
+    assert (row.x, row.y, row.z) == (0.0, 1.0, None)
+
+
 # 2
 
 
