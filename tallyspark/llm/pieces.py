@@ -3,7 +3,7 @@
 A text is split where a piece can't span: in front of every run of word marks (U+2581) that
 follows another character, provided that no piece of the vocabulary crosses such a place.
 Each segment is merged by an agenda ordered by (score, position) of adjacent symbol pairs;
-the ids of segments are remembered.  Some texts of every Arrow batch are also encoded and
+the ids of segments are remembered.  All texts of every Arrow batch are also encoded and
 decoded by the sentencepiece library, and a difference raises an error.
 
 Defined results: null and empty texts have no ids and decode to ''.
@@ -27,8 +27,8 @@ from .common import small_batches
 MARK = "▁"
 #: Segments remembered by one Python worker; the table is emptied when full.
 REMEMBERED = 400_000
-#: One text in so many of each batch is held against the library.
-CHECK_EVERY = 64
+#: One text in so many of each batch is held against the library: all of them.
+CHECK_EVERY = 1
 
 
 class MergeCodec:

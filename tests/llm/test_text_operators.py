@@ -428,6 +428,20 @@ def test_pieces_match_the_library(spark, odd, clashing, none, model):
     assert pieces.encode_texts(none, model).count() == 0 and rows[0].n_tokens == rows[1].n_tokens == 0
 
 
+def test_every_text_is_held_against_the_library(spark, model, monkeypatch):
+    made = pieces.codec(model)
+    monkeypatch.setattr(made, "encode_bytes", lambda t: b"" if t == "wrong" else pieces.MergeCodec.encode_bytes(made, t))
+    monkeypatch.setattr(pieces, "small_batches", lambda df: df)
+    docs = documents(spark, ["right"] * 10 + ["wrong"])
+    kept = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda _, f, schema: kept.update(f=f))
+    pieces.encode_texts(docs.select("doc_id", "text"), model)
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="wrong"):
+        list(kept["f"]([pa.RecordBatch.from_pydict({"doc_id": list(range(11)), "text": ["right"] * 10 + ["wrong"]})]))
+
+
 # 10
 
 
