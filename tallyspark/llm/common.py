@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once and rows of one Arrow batch; they bound what one Python worker holds.
 CHUNK_BYTES, BATCH_ROWS = 1 << 18, 1000
@@ -34,6 +35,20 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return [f"{front}{n}" for n in names]
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without the columns that an operator is about to add, in whatever case they are written."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names, in whatever case, called otherwise, and what gives a result docs' columns and names back."""
+    taken, columns = {n.lower() for n in names}, docs.columns
+    other = dict(zip([c for c in columns if c.lower() in taken], spare([*columns, *names], *[f"kept{i}" for i, c in enumerate(columns) if c.lower() in taken])))
+    renamed = docs.select(*[F.col(f"`{c}`").alias(other.get(c, c)) for c in columns]) if other else docs
+    return renamed, lambda result: result.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

@@ -1,16 +1,23 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, by DataFrame functions only.
 
-A fingerprint keeps every hash of a ``SHINGLE``-word shingle that lies in the lowest
-1/``SCALE`` of the hash range; texts of at most ``SMALL`` different shingles keep all of them (scale 1).
-Sketches of one scale merge by union, and the share of one sketch that is in another one,
-both cut to the coarser scale, estimates containment however unequal the texts are.
+A sketch keeps every hash of a ``SHINGLE``-word shingle that lies in the lowest 1/``SCALE`` of
+the hash range, whatever the length of the text, so sketches merge by union, and the share of
+one sketch that is in another one estimates containment however unequal the texts are.  Beside
+it stand a finer sketch, of every word hash in the lowest 1/``WORD_SCALE`` of its range, the
+number of different shingles and one hash of the whole set.
+
+Containment of a in b, in this order: equal sets contain each other (1); a set and an empty one
+don't (0); else the share of a's shingle sketch that b's has; if no shingle of a short a was
+retained, the share of its word sketch that b's has, to the power of ``SHINGLE``, as all words
+of a shingle must be there; if no word was retained either, 0.
 
 Words are runs of characters outside ``[\\x20\\x09-\\x0D]``.  Defined results: null counts as
-empty; a text without words has an empty sketch, one of fewer words than a shingle has the
-hash of all its words; two empty sketches are alike (1), an empty and another one are not (0);
-a sketch that scaling down left empty is in another one by an unknown share (null);
+empty; a text without words has an empty sketch and set, one of fewer words than a shingle has the
+hash of all its words; two empty texts are alike (1); a merged sketch knows of its set only that it
+has as many shingles as the larger part; very long texts are sketched whole;
 rows of equal doc_id share the next document, of which the row with the smallest text hash
 counts; a null doc_id has no next document; a single document is followed by itself.
+Only doc_id and text are read; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -22,9 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SHINGLE, SCALE, SMALL = 5, 8, 64
+SHINGLE, SCALE, WORD_SCALE = 5, 4, 2
 BELOW = -(1 << 63) + (1 << 64) // SCALE
-SKETCH = "struct<full: boolean, hashes: array<bigint>>"
+WORDS_BELOW = -(1 << 31) + (1 << 32) // WORD_SCALE
+SKETCH = "struct<n: bigint, whole: bigint, hashes: array<bigint>, words: array<int>>"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -33,50 +41,55 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _struct(n: Column, whole: Column, hashes: Column, words: Column) -> Column:
+    return F.struct(n.cast("long").alias("n"), whole.alias("whole"), hashes.alias("hashes"), words.alias("words"))
+
+
 def sketch(text: Column) -> Column:
-    """struct(full, hashes): distinct retained hashes in ascending order."""
-    none = F.array().cast("array<bigint>")
+    """struct(n, whole, hashes, words): shingles of the text, their set's hash, and the retained hashes of shingles and words in ascending order."""
 
-    def retained(words: Column) -> Column:
-        return bound(F.transform(words, lambda w: F.xxhash64(w)), shingled)
+    def hashed(words: Column) -> Column:
+        return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: bound(shingled(h), lambda found: sketched(found, h)))
 
     def shingled(h: Column) -> Column:
-        n = F.size(h) - (SHINGLE - 1)
-        all_hashes = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k if k else i) for k in range(SHINGLE)]))
-        return F.when(n < 1, F.struct(F.lit(True).alias("full"), F.array(F.xxhash64(h)).alias("hashes"))).otherwise(bound(F.array_distinct(all_hashes), scaled))
+        every = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k if k else i) for k in range(SHINGLE)]))
+        return F.when(F.size(h) < SHINGLE, F.array(F.xxhash64(h))).otherwise(F.array_distinct(every))
 
-    def scaled(found: Column) -> Column:
-        small = F.size(found) <= SMALL
-        return F.struct(small.alias("full"), F.array_sort(F.when(small, found).otherwise(F.filter(found, lambda x: x < BELOW))).alias("hashes"))
+    def sketched(found: Column, h: Column) -> Column:
+        words = F.filter(F.transform(F.array_distinct(h), lambda x: F.hash(x)), lambda x: x < WORDS_BELOW)
+        return bound(F.sort_array(found), lambda ordered: _struct(F.size(found), F.xxhash64(ordered), F.filter(ordered, lambda x: x < BELOW), F.sort_array(F.array_distinct(words))))
 
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(trimmed == "", F.struct(F.lit(True).alias("full"), none.alias("hashes"))).otherwise(retained(F.split(trimmed, r"[\x20\x09-\x0D]+")))
+    none = _struct(F.lit(0), F.lit(0).cast("long"), F.array().cast("array<bigint>"), F.array().cast("array<int>"))
+    return F.when(trimmed == "", none).otherwise(hashed(F.split(trimmed, r"[\x20\x09-\x0D]+")))
 
 
 def merged(a: Column, b: Column) -> Column:
-    """Sketch of both texts' shingles."""
-    full = a["full"] & b["full"]
-    return F.struct(full.alias("full"), F.array_sort(F.array_union(at_scale(a, full), at_scale(b, full))).alias("hashes"))
-
-
-def at_scale(s: Column, full: Column) -> Column:
-    return F.when(full | ~s["full"], s["hashes"]).otherwise(F.filter(s["hashes"], lambda x: x < BELOW))
+    """Sketch of both texts' shingles; n is the least number they can have, whole is null unless the sets are equal or one is empty."""
+    whole = F.when((b["n"] == 0) | (a["whole"] == b["whole"]), a["whole"]).when(a["n"] == 0, b["whole"])
+    return _struct(F.greatest(a["n"], b["n"]), whole, F.sort_array(F.array_union(a["hashes"], b["hashes"])), F.sort_array(F.array_union(a["words"], b["words"])))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1; null if a has shingles, but none at its scale."""
+    """Estimated share of a's shingles that b has, 0 to 1."""
 
     def share(x: Column, y: Column) -> Column:
-        return F.when(F.size(x) == 0, (F.size(y) == 0).cast("double")).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+        return F.size(F.array_intersect(x, y)) / F.size(x)
 
-    full = a["full"] & b["full"]
-    fine = share(at_scale(a, full), at_scale(b, full))
-    # a small text may have nothing left at the coarser scale: then all its hashes are looked up
-    return F.when(~a["full"] & (F.size(a["hashes"]) == 0), F.lit(None).cast("double")).when(~full & a["full"] & (F.size(at_scale(a, full)) == 0), share(a["hashes"], b["hashes"])).otherwise(fine)
+    return (
+        F.when((a["n"] == 0) | (b["n"] == 0), ((a["n"] == 0) & (b["n"] == 0)).cast("double"))
+        .when((a["n"] == b["n"]) & (a["whole"] == b["whole"]), 1.0)
+        .when(F.size(a["hashes"]) > 0, share(a["hashes"], b["hashes"]))
+        .when(F.size(a["words"]) > 0, F.pow(share(a["words"], b["words"]), F.lit(SHINGLE)))
+        .otherwise(0.0)
+    )
 
 
 def fingerprint(s: Column) -> Column:
-    return F.concat(F.when(s["full"], "1:").otherwise(f"{SCALE}:"), F.concat_ws("", F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0"))))
+    """``n:whole:shingle hashes:word hashes`` in hex digits."""
+    shingles = F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0"))
+    words = F.transform(s["words"], lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.concat_ws(":", s["n"].cast("string"), F.coalesce(F.hex(s["whole"]), F.lit("")), F.concat_ws("", shingles), F.concat_ws("", words))
 
 
 def with_next(ids: DataFrame) -> DataFrame:
@@ -99,19 +112,19 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     edited: the last quarter of the text replaced by as much from the start of the next document.
     """
     every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # both joins read this one exchange of the texts: the same columns, filter and key
-    texts = every.filter("doc_id is not null").withColumn("own", sketch(F.col("text")))
-    lengths = materialize(every.filter("doc_id is not null").select("doc_id", F.length("text").alias("n")))
-    per_id = lengths.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+    # both joins read this one exchange of the texts: the same columns, filter and key; sketches are made behind it
+    texts = every.filter("doc_id is not null")
+    lengths = texts.select("doc_id", F.length("text").alias("n"))
+    per_id = materialize(lengths.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows")))
     repeated = not per_id.filter("rows > 1").isEmpty()
     order = with_next(per_id.select("doc_id"))
     asked = order.join(per_id, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("previous"), F.floor(F.col("n") / 4).cast("int").alias("taken"))
-    given = texts.join(asked.hint("merge"), "doc_id").select("previous", F.substring(F.col("text"), F.lit(1), F.col("taken")).alias("lead"), F.col("own").alias("next_sketch"), *([F.xxhash64("text").alias("h")] if repeated else []))
+    given = texts.join(asked.hint("merge"), "doc_id").select("previous", F.substring(F.col("text"), F.lit(1), F.col("taken")).alias("lead"), sketch(F.col("text")).alias("next_sketch"), *([F.xxhash64("text").alias("h")] if repeated else []))
     if repeated:
         given = given.groupBy("previous").agg(F.min_by(F.struct("lead", "next_sketch"), "h").alias("x")).select("previous", "x.*")
-    nameless = every.filter("doc_id is null").select("doc_id", "text", sketch(F.col("text")).alias("own"), F.lit("").alias("lead"), F.lit(None).cast(SKETCH).alias("next_sketch"))
-    followed = texts.join(given.hint("merge"), F.col("doc_id") == F.col("previous")).select("doc_id", "text", "own", "lead", "next_sketch").unionAll(nameless)
+    nameless = every.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("lead"), F.lit(None).cast(SKETCH).alias("next_sketch"))
+    followed = texts.join(given.hint("merge"), F.col("doc_id") == F.col("previous")).select("doc_id", "text", "lead", "next_sketch").unionAll(nameless)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("lead"), F.lit(1), quarter))
-    return followed.select("doc_id", "text", "own", "next_sketch", edited.alias("edited")).withColumn("edited_sketch", sketch(F.col("edited")))
+    return followed.select("doc_id", "text", "next_sketch", edited.alias("edited")).withColumns({"own": sketch(F.col("text")), "edited_sketch": sketch(F.col("edited"))})
