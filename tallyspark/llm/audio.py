@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, without
 
 RATE, DOWN, TAPS = 8000, 2, 32
 FRAME, HOP, BANDS, PATCH = 256, 128, 24, 32
@@ -156,6 +156,7 @@ FIELDS = [
 
 def audio_column(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs' other columns with media (WAVE), log_mel (tensor stream) and spans (active segments) in place of ``column``."""
+    docs = without(docs, *(f.name for f in FIELDS if f.name != column))
     at, others = docs.columns.index(column), [f for f in docs.schema.fields if f.name != column]
     schema = T.StructType([*others, *FIELDS])
     spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))

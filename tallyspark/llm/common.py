@@ -10,9 +10,10 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once and rows of one Arrow batch; they bound what one Python worker holds.
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spare(columns: list[str], *names: str) -> list[str]:
     """The names with as many underscores in front as keep them apart from all columns."""
     taken, front = {c.lower() for c in columns}, "__"
@@ -77,6 +83,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Folders that materialize has written and nothing has deleted yet.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them: cuts the lineage and survives lost executors.
 
@@ -85,6 +95,7 @@ def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    _written.append(path)
     df.write.parquet(path)
     if release:
         gc.collect()
@@ -94,11 +105,36 @@ def materialize(df: DataFrame, release: bool = True) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a ``materialize`` result that nothing reads any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df._tallyspark_path)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._tallyspark_path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end what was materialized inside: for steps whose result has been written elsewhere by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            delete(spark, path)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written this folder to the end."""
+    context = spark.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(context._jsc.hadoopConfiguration()).exists(mark)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,12 +22,10 @@ Only doc_id and text are read; other columns, whatever their names, don't matter
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound, materialize
 
 SHINGLE, SCALE, WORD_SCALE = 5, 4, 2
 BELOW = -(1 << 63) + (1 << 64) // SCALE
@@ -36,11 +34,6 @@ SKETCH = "struct<n: bigint, whole: bigint, hashes: array<bigint>, words: array<i
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _struct(n: Column, whole: Column, hashes: Column, words: Column) -> Column:
     return F.struct(n.cast("long").alias("n"), whole.alias("whole"), hashes.alias("hashes"), words.alias("words"))
 
@@ -86,10 +79,11 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def fingerprint(s: Column) -> Column:
-    """``n:whole:shingle hashes:word hashes`` in hex digits."""
+    """``n:whole:shingle hashes:word hashes``, the hashes as base64 of their big-endian bytes."""
     shingles = F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0"))
     words = F.transform(s["words"], lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.concat_ws(":", s["n"].cast("string"), F.coalesce(F.hex(s["whole"]), F.lit("")), F.concat_ws("", shingles), F.concat_ws("", words))
+    packed = [F.base64(F.unhex(F.concat_ws("", part))) for part in (shingles, words)]
+    return F.concat_ws(":", s["n"].cast("string"), F.coalesce(F.hex(s["whole"]), F.lit("")), *packed)
 
 
 def with_next(ids: DataFrame) -> DataFrame:

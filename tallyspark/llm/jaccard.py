@@ -4,16 +4,20 @@ Texts with equal sets of word shingles are one class from the start, stood for b
 Signatures of ``HASHES`` MinHash values are cut into bands; texts that share a band meet in a
 bucket.  Pairs of small buckets are compared value by value, ``STEP`` at a time, and dropped
 as soon as the posterior probability of reaching the threshold falls below ``TOLERANCE``;
-large buckets are kept whole.  What is left joins texts to candidate groups; their shingle
-sets meet block by block (at most ``BLOCK`` texts a side) and all similarities are exact.
+large buckets are kept whole at first.  What is left joins texts to candidate groups, and in each group
+the pairs that survive the same comparison of MinHash values are verified exactly.  A large group
+meets block by block (at most ``BLOCK`` texts a side); there a text is stood for by its signature and the
+shingles in which it differs from the group's first text, few where texts are near copies:
+sets that differ from a third one by d and e differ from each other by the symmetric difference of d and e.
 From each block only numbers of links and a spanning forest go on, never a row per pair, so
-a group of n near copies costs n * n / BLOCK rows.  Groups and classes are found by
+a group of n near copies costs n * n / BLOCK small rows.  Groups and classes are found by
 alternating star contractions, all joins of which Spark can split.
 
 Words are runs of bytes outside ``[\\x20\\x09-\\x0D]``, unchanged.  Defined results: a text of
 fewer words than a shingle has one shingle, all its words; texts without words are copies of
 each other (null counts as empty) and linked to nothing else; equal rows are copies; a null
-doc_id is a document like any other, but names a class only if no other id is in it.
+doc_id is a document like any other, but names a class only if no other id is in it; of equal similarities and
+sizes nothing depends on order; very long texts are compared whole; no column but doc_id and text is read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 5, 32, 1e-6
 HASHES = BANDS * ROWS
 #: Largest bucket whose pairs are listed; texts and shingles of one side of a block; texts of a task of small groups.
-SMALL, BLOCK, BLOCK_SHINGLES, TASK = 32, 512, 1_000_000, 1000
+SMALL, BLOCK, BLOCK_SHINGLES, TASK = 32, 1024, 1_000_000, 1000
 
 _RANDOM = np.random.Generator(np.random.PCG64(80))
 _FACTORS = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -184,6 +188,37 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return found
 
 
+def alive_pairs(sigs: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Which pairs of rows survive incremental comparison of their signatures, as a matrix."""
+    m = len(sigs)
+    out = np.zeros((m, m), bool)
+    for first in range(0, m, 256):
+        part = np.arange(first, min(first + 256, m))
+        left, right = (x.ravel() for x in np.meshgrid(part, np.arange(m), indexing="ij"))
+        above = left < right
+        left, right = left[above], right[above]
+        equal, before = np.zeros(len(left), np.int16), 0
+        for compared, least in steps:
+            for column in range(before, compared):
+                equal += sigs[left, column] == sigs[right, column]
+            kept, before = equal >= least, compared
+            left, right, equal = left[kept], right[kept], equal[kept]
+            if 2 * len(left) > len(part) * m // 2:  # most pairs are near copies: verification is cheaper than the rest of the comparison
+                break
+        out[left, right] = out[right, left] = True
+    return out
+
+
+def linked_by_differences(sizes: np.ndarray, differences: list[np.ndarray], threshold: float) -> np.ndarray:
+    """The same for sets given by their sizes and by how they differ from one common set."""
+    apart = np.array([len(d) for d in differences], float)
+    apart = apart[:, None] + apart - 2 * overlaps(differences)
+    total = sizes[:, None] + sizes
+    found = (total - apart) / 2 >= threshold * (total + apart) / 2 - 1e-9
+    np.fill_diagonal(found, False)
+    return found
+
+
 def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest."""
     new, out = np.ones(len(adjacent), bool), []
@@ -202,11 +237,21 @@ def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
 def _verify(threshold: float):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         kind, a, b, n = [], [], [], []
+        steps = least_matches(threshold)
         for (_, i, j), group in rows.groupby(["label", "i", "j"], sort=False):
-            ids, copies, side = group["rid"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
-            found = linked([np.asarray(s, np.int64) for s in group["shingles"]], threshold)
-            if i != j:
-                found &= side[:, None] != side
+            if group["sig"].iloc[0] is not None:
+                pairs = alive_pairs(np.stack([np.frombuffer(x, np.uint8) for x in group["sig"]]), steps)
+                side = group["block"].to_numpy()
+                if i != j:
+                    pairs &= side[:, None] != side
+                some = pairs.any(axis=1)
+                group, pairs = group[some], pairs[np.ix_(some, some)]
+                if not len(group):
+                    continue
+                found = pairs & linked_by_differences(group["size"].to_numpy(float), [np.asarray(s, np.int64) for s in group["shingles"]], threshold)
+            else:
+                found = linked([np.asarray(s, np.int64) for s in group["shingles"]], threshold)
+            ids, copies = group["rid"].to_numpy(), group["copies"].to_numpy()
             links = np.array([copies[row].sum() for row in found])
             for x in np.flatnonzero(links):
                 kind.append(0), a.append(ids[x]), b.append(0), n.append(links[x])
@@ -218,13 +263,18 @@ def _verify(threshold: float):
 
 
 def _with_shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the last column, a text, by its shingle hashes in ascending order."""
+    """Replaces the last column, a text, by its number of shingles and their hashes in ascending order; a column ``lead`` of such hashes by what the text has and lead hasn't, or the other way round."""
     for batch in batches:
+        leads = batch.column("lead") if "lead" in batch.schema.names else None
+        kept = [i for i, name in enumerate(batch.schema.names[:-1]) if name != "lead"]
         for first, texts in chunks(batch.column(batch.num_columns - 1).to_pylist()):
             words = Words(texts)
             found = [np.sort(shingles(words.hashes[words.bounds[i] : words.bounds[i + 1]]).view(np.int64)) for i in range(len(words))]
-            columns = [c.slice(first, len(texts)) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "shingles"])
+            sizes = [len(x) for x in found]
+            if leads is not None:
+                found = [np.setxor1d(x, leads[first + i].values.to_numpy(zero_copy_only=False), assume_unique=True) for i, x in enumerate(found)]
+            columns = [batch.column(i).slice(first, len(texts)) for i in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], [*[batch.schema.names[i] for i in kept], "size", "shingles"])
 
 
 def numbered(docs: DataFrame, rid: str = "rid") -> DataFrame:
@@ -266,12 +316,26 @@ def _near_duplicates(base: DataFrame, threshold: float) -> DataFrame:
     dealt = materialize(dealt)
     tasks = max(1, -(-dealt.filter("blocks = 1").count() // TASK))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.xxhash64("label", "i", "j").bitwiseOR(F.lit(1 << 40)))
+    texts, members_of = base.select("rid", "text"), "rid long, label long, copies long, blocks int, block int"
+    whole = (
+        dealt.filter("blocks = 1").join(texts, "rid").select("rid", "label", "copies", "blocks", "block", "text")
+        .mapInArrow(_with_shingles, f"{members_of}, size long, shingles array<long>").withColumn("sig", F.lit(None).cast("binary"))
+    )
+    # each block of a large group gets the shingles of the group's first text, so no join key has more rows than a block
+    leads = (
+        dealt.filter("blocks > 1 and rid = label").join(texts, "rid").select("label", "blocks", "text")
+        .mapInArrow(_with_shingles, "label long, blocks int, size long, shingles array<long>")
+        .select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("shingles").alias("lead"))
+    )
+    large = (
+        dealt.filter("blocks > 1").join(texts, "rid").join(stand.select("rid", "sig"), "rid").join(leads, ["label", "block"])
+        .select("rid", "label", "copies", "blocks", "block", "sig", "lead", "text")
+        .mapInArrow(_with_shingles, f"{members_of}, sig binary, size long, shingles array<long>")
+    )
     sets = (
-        dealt.join(base.select("rid", "text"), "rid").select("rid", "label", "copies", "blocks", "block", "text")
-        .mapInArrow(_with_shingles, "rid long, label long, copies long, blocks int, block int, shingles array<long>")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        whole.unionByName(large).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .withColumn("task", task).select("task", "rid", "label", "copies", "block", "i", "j", "shingles")
+        .withColumn("task", task).select("task", "rid", "label", "copies", "block", "i", "j", "size", "sig", "shingles")
     )
     checked = materialize(sets.groupBy("task").applyInPandas(_verify(threshold), "kind int, a long, b long, n long"))
 

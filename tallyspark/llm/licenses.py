@@ -1,25 +1,33 @@
-"""License scans: sparse TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory.
+"""License scans: sparse TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest directory.
 
 Terms are words without stop words.  A word weighs by the share of all files that have it, in
 templates and files alike, so that equal mixes of files give equal cosines however many
-they are; only files with a word of the templates are taken apart.  A file's own license
-is that of its best line (a header) if the cosine reaches ``HEADER``; a file whose whole text
-reaches ``WHOLE`` licenses its directory; a file without an own license takes that of the
-nearest directory above it that has one.  Only DataFrame functions are used.
-
-Defined results: files with equal ids count as one; null and empty texts have no own license; equal lines give equal cosines;
-ties go to the license that sorts first, in directories to the smallest id; a null path has
-no directory; an empty table gives no rows.  Other columns are not returned.
+they are.  A file's own license is that of its best line (a header) if the cosine reaches
+``HEADER``.  A licence file licenses its directory: one that is named so (``NAMES``) by its own
+license, or else by the template nearest to its whole text if that cosine reaches ``NAMED``; any
+other file only if its whole text is nearly all template, that is if the cosine reaches
+``WHOLE``.  A file without an own license takes that of the nearest directory above it that has one.
+Only DataFrame functions are used.
+
+No line reaches a cosine that its words of the templates can't give it even if all its other
+words had the least weight, 1; this bound, known within a row, leaves the lines whose words are counted.
+
+Defined results: one row for each row of files, repeated rows and rows without doc_id included, each
+judged by itself; null and empty texts have no own license; very long texts and lines are read whole; equal lines
+give equal cosines; ties go to the license that sorts first, in directories to the smallest id (a null
+id comes last), then to the license that sorts first; a null path has no directory and inherits
+nothing; an empty table gives no rows.  Other columns are not returned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound, discard, materialize
 
 # Short notices of public licenses.
 TEMPLATES = {
@@ -31,7 +39,9 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
 }
 STOP = ["a", "an", "and", "any", "are", "be", "by", "except", "for", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "with", "you", "can", "use", "work"]
-HEADER, WHOLE = 0.6, 0.08
+HEADER, NAMED, WHOLE = 0.6, 0.2, 0.6
+#: Names of licence files, without regard to case.
+NAMES = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice|copyright)[^/]*$"
 #: Share of files added to that of every word, so that words of no file have a weight too: the smoothing by one file of a thousand.
 RARE = 0.001
 _SPLIT = "[^a-z0-9]+"
@@ -61,50 +71,78 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def document_frequencies(files: DataFrame) -> tuple[DataFrame, int]:
-    """(term, df) of every word of all files, and the number of files (1 at least); rows of one id are one file."""
-    per_id = files.groupBy("doc_id").agg(F.count("*").alias("rows")).agg(F.count("*").alias("files"), F.max("rows").alias("most")).first()
-    seen = files.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), _SPLIT))).alias("term"))
-    if (per_id["most"] or 0) > 1:
-        seen = seen.distinct()
-    return materialize(seen.groupBy("term").agg(F.count("*").alias("df"))), max(1, per_id["files"])
-
-
-def own_licenses(files: DataFrame) -> DataFrame:
-    """(doc_id, kind 'header' or 'whole', license, cosine): the best template of each file's lines and of its whole text."""
-    spark: SparkSession = files.sparkSession
-    rows = template_rows()
-    vocabulary = F.array(*[F.lit(w) for w in sorted({r[2] for r in rows})])
-    frequency, n_docs = document_frequencies(files)
-    known = {r["term"]: r["df"] for r in frequency.filter(F.col("term").isin(sorted({r[2] for r in rows}))).collect()}
-    templates = spark.createDataFrame([(*r, known.get(r[2], 0)) for r in rows], "license string, template int, term string, n int, df long").withColumn("w", F.col("n") * idf(F.lit(n_docs), F.col("df")))
-    names = sorted({(r[0], r[1]) for r in rows})
-    norms = templates.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    unit = templates.join(F.broadcast(norms), ["license", "template"]).withColumn("u", F.col("w") / F.col("t_norm"))
-    sparse = F.broadcast(unit.groupBy("term").agg(*[F.sum(F.when((F.col("license") == name) & (F.col("template") == number), F.col("u")).otherwise(0.0)).alias(f"u{i}") for i, (name, number) in enumerate(names)]))
-    # a text without a term of the templates has cosine 0, so only the others are taken apart; equal lines of a file are one, with a multiple of its counts
-    counted = (
-        files.filter(F.arrays_overlap(F.split(F.lower("text"), _SPLIT), vocabulary))
-        .select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", F.xxhash64("raw").alias("line"), F.explode(terms_of(F.col("raw"))).alias("term"))
-        .groupBy("doc_id", "line", "term").agg(F.count("*").alias("tf"))
-    )
-    weights = frequency.select("term", idf(F.lit(n_docs), F.col("df")).alias("idf"))
-    in_file = Window.partitionBy("doc_id", "term")
-    # counts are written out before they meet the weights, so that Spark can split a hot word; all further steps stay on the partitions of doc_id
-    dealt = materialize(counted).join(weights, "term").repartition("doc_id")
-    both = (
-        dealt.withColumns({"all": F.sum("tf").over(in_file), "at": F.row_number().over(in_file.orderBy("line"))})
-        .join(sparse, "term", "left")
-        .select("doc_id", "line", (F.col("tf") * F.col("idf")).alias("w"), F.when(F.col("at") == 1, F.col("all") * F.col("idf")).otherwise(0.0).alias("f"), *[F.coalesce(f"u{i}", F.lit(0.0)).alias(f"u{i}") for i in range(len(names))])
+    """(term, df): in how many rows each word, given by its hash, is; and the number of rows (1 at least)."""
+    seen = files.select(F.explode(F.array_distinct(F.split(F.lower("text"), _SPLIT))).alias("word")).select(F.xxhash64("word").alias("term"))
+    return materialize(seen.groupBy("term").agg(F.count("*").alias("df"))), max(1, files.count())
+
+
+class Weights:
+    """Weights of the templates' words in a corpus: ``idf`` by word, ``unit[i]`` by word for the template ``names[i]``."""
+
+    def __init__(self, frequency: DataFrame, n_docs: int):
+        rows = template_rows()
+        self.names = sorted({(r[0], r[1]) for r in rows})
+        vocabulary = frequency.sparkSession.createDataFrame([(w,) for w in sorted({r[2] for r in rows})], "word string")
+        known = vocabulary.join(frequency, F.xxhash64("word") == F.col("term"), "left").select("word", idf(F.lit(n_docs), F.coalesce("df", F.lit(0))).alias("idf"))
+        self.idf = {r["word"]: r["idf"] for r in known.collect()}
+        self.unit = []
+        for name in self.names:
+            own = {w: n * self.idf[w] for license, number, w, n in rows if (license, number) == name}
+            norm = math.sqrt(sum(x * x for x in own.values()))
+            self.unit.append({w: x / norm for w, x in own.items()})
+
+    def most(self, terms: Column) -> Column:
+        """Upper bound of the cosine of a list of terms to any template."""
+
+        def table(values: dict[str, float]) -> Column:
+            return F.create_map(*[F.lit(x) for item in sorted(values.items()) for x in item])
+
+        def total(of: Column, values: dict[str, float]) -> Column:
+            weights = table(values)
+            return F.aggregate(of, F.lit(0.0), lambda sum_, w: sum_ + F.coalesce(F.try_element_at(weights, w), F.lit(0.0)))
+
+        def bounded(own: Column) -> Column:
+            dots = [total(own, {w: x * self.idf[w] for w, x in unit.items()}) for unit in self.unit]
+            least = total(own, {w: x * x for w, x in self.idf.items()}) + F.size(terms) - F.size(own)
+            return F.when(F.size(own) == 0, 0.0).otherwise(F.greatest(*dots) / F.sqrt(least))
+
+        return bound(F.filter(terms, lambda w: w.isin(sorted(self.idf))), bounded)
+
+
+def candidates(files: DataFrame, weights: Weights) -> DataFrame:
+    """(rid, doc_id, path, parts): rows with a number each, and the lines (kind 'header') and whole texts ('whole') that may reach their limit."""
+    named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
+    found = F.transform(F.split("text", "\n"), lambda line: terms_of(line))
+    headers = F.filter(found, lambda terms: weights.most(terms) >= HEADER - 1e-6)
+    whole = F.array(bound(terms_of(F.col("text")), lambda terms: F.when(weights.most(terms) >= F.when(named, NAMED).otherwise(WHOLE) - 1e-6, terms)))
+    parts = F.concat(
+        F.transform(headers, lambda terms, i: F.struct(F.lit("header").alias("kind"), i.alias("line"), terms.alias("terms"))),
+        F.transform(F.filter(whole, lambda terms: terms.isNotNull()), lambda terms, i: F.struct(F.lit("whole").alias("kind"), i.alias("line"), terms.alias("terms"))),
     )
-    sums = [F.sum(F.col(x) * F.col(x)).alias(f"{x}_norm") for x in ("w", "f")] + [F.sum(F.col(x) * F.col(f"u{i}")).alias(f"{x}{i}") for x in ("w", "f") for i in range(len(names))]
-    by_line = both.groupBy("doc_id", "line").agg(*sums)
-    best = (
-        by_line.withColumn("header", _best("w", names)).groupBy("doc_id")
-        .agg(F.max("header").alias("header"), F.sum("f_norm").alias("f_norm"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(names))])
-        .select("doc_id", "header", _best("f", names).alias("whole"))
+    some = F.arrays_overlap(F.split(F.lower("text"), _SPLIT), F.array(*[F.lit(w) for w in sorted(weights.idf)]))
+    none = F.array().cast("array<struct<kind: string, line: int, terms: array<string>>>")
+    return materialize(files.select("doc_id", "path", F.when(some, parts).otherwise(none).alias("parts")).withColumn("rid", F.monotonically_increasing_id()))
+
+
+def best_templates(rows: DataFrame, frequency: DataFrame, n_docs: int, weights: Weights) -> DataFrame:
+    """(rid, kind, license, cosine): the nearest template of each row's best line and of its whole text, exact, if it reaches HEADER or NAMED."""
+    spark: SparkSession = rows.sparkSession
+    names = weights.names
+    columns = ", ".join(f"u{i} double" for i in range(len(names)))
+    sparse = F.broadcast(spark.createDataFrame([(w, x, *[unit.get(w, 0.0) for unit in weights.unit]) for w, x in sorted(weights.idf.items())], f"word string, own double, {columns}"))
+    counted = (
+        rows.select("rid", F.explode("parts").alias("part")).select("rid", "part.kind", "part.line", F.explode("part.terms").alias("word"))
+        .groupBy("rid", "kind", "line", "word").agg(F.count("*").alias("tf")).join(sparse, "word", "left")
     )
-    best = materialize(best.filter("header is not null"))
-    return best.select("doc_id", F.lit("header").alias("kind"), "header.license", "header.cosine").unionByName(best.select("doc_id", F.lit("whole").alias("kind"), "whole.license", "whole.cosine"))
+    # words of the templates, the frequent ones here, bring their weight along; the others look it up
+    counted = materialize(counted)
+    others = counted.filter("own is null").join(frequency, F.xxhash64("word") == F.col("term"), "left").withColumn("own", idf(F.lit(n_docs), F.coalesce("df", F.lit(0)))).drop("term", "df")
+    weighed = counted.filter("own is not null").unionByName(others).withColumn("w", F.col("tf") * F.col("own"))
+    sums = [F.sum(F.col("w") * F.col("w")).alias("w_norm"), *[F.sum(F.col("w") * F.coalesce(f"u{i}", F.lit(0.0))).alias(f"w{i}") for i in range(len(names))]]
+    lines = weighed.groupBy("rid", "kind", "line").agg(*sums).select("rid", "kind", _best("w", names).alias("best"))
+    best = materialize(lines.groupBy("rid", "kind").agg(F.max("best").alias("best")))
+    discard(counted)
+    return best.select("rid", "kind", "best.license", "best.cosine").filter(F.col("cosine") >= F.when(F.col("kind") == "header", HEADER).otherwise(NAMED))
 
 
 def _best(x: str, names: list[tuple[str, int]]) -> Column:
@@ -116,28 +154,40 @@ def _best(x: str, names: list[tuple[str, int]]) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """The directories above a path, '' for the root, nearest last."""
+    """The directories above a path, '' for the root, nearest last; for '' itself only ''."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """One row per (doc_id, path) of files: own_license and cosine, license in force, and the directory it is inherited from."""
-    best = own_licenses(files)
-    headers = best.filter((F.col("kind") == "header") & (F.col("cosine") >= HEADER)).select("doc_id", F.col("license").alias("own_license"), "cosine")
-    wholes = best.filter((F.col("kind") == "whole") & (F.col("cosine") >= WHOLE)).select("doc_id", F.col("license").alias("file_license"))
-    paths = files.select("doc_id", "path")
-    directories = (
-        paths.join(wholes, "doc_id").withColumn("directory", F.element_at(ancestors(F.col("path")), -1)).filter("directory is not null")
-        .groupBy("directory").agg(F.min_by("file_license", F.struct("doc_id", "file_license")).alias("directory_license"))
-    )
-    own = paths.join(headers, "doc_id", "left")
-    above = (
-        own.filter("own_license is null").select("doc_id", "path", F.posexplode(ancestors(F.col("path"))).alias("depth", "directory"))
-        .join(directories, "directory").groupBy("doc_id", "path").agg(F.max_by(F.struct("directory", "directory_license"), "depth").alias("near"))
+    """One row per row of files: doc_id, path, own_license and cosine, license in force, and the directory it is inherited from."""
+    files = files.select("doc_id", "path", "text")
+    frequency, n_docs = document_frequencies(files)
+    weights = Weights(frequency, n_docs)
+    rows = candidates(files, weights)
+    best = best_templates(rows, frequency, n_docs, weights)
+    headers = best.filter("kind = 'header'").select("rid", F.col("license").alias("own_license"), "cosine")
+    wholes = best.filter("kind = 'whole'").select("rid", F.col("license").alias("nearest"), F.col("cosine").alias("share"))
+    named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
+    directory = F.element_at(ancestors(F.col("path")), -1).alias("directory")
+    found = rows.select("rid", "doc_id", "path", directory).join(headers, "rid", "left").join(wholes, "rid", "left")
+    licensing = F.when(named, F.coalesce("own_license", "nearest")).when(F.col("share") >= WHOLE, F.col("nearest"))
+    own = materialize(found.select("doc_id", "path", "directory", "own_license", "cosine", licensing.alias("licensing")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "licensing")
+    licensed = own.filter("licensing is not null and directory is not null").groupBy("directory").agg(F.min_by("licensing", order).alias("inherited"))
+    # the nearest one is looked up once for each directory, not for each of its files
+    wanted = own.filter("own_license is null and directory is not null").select("directory").distinct()
+    near = (
+        wanted.select("directory", F.posexplode(F.concat(ancestors(F.col("directory")), F.array("directory"))).alias("depth", "above"))
+        .join(licensed.withColumnRenamed("directory", "above"), "above")
+        .groupBy("directory").agg(F.max_by(F.struct("above", "inherited"), "depth").alias("near"))
     )
-    same = (F.col("o.doc_id").eqNullSafe(F.col("a.doc_id"))) & (F.col("o.path").eqNullSafe(F.col("a.path")))
+    discard(rows)
+    discard(frequency)
     return (
-        own.alias("o").join(above.alias("a"), same, "left")
-        .select("o.doc_id", "o.path", "own_license", "cosine", F.coalesce("own_license", "near.directory_license").alias("license"), F.col("near.directory").alias("inherited_from"))
-    )
+        own.join(near, "directory", "left")
+        .select(
+            "doc_id", "path", "own_license", "cosine", F.coalesce("own_license", "near.inherited").alias("license"),
+            F.when(F.col("own_license").isNull(), F.col("near.above")).alias("inherited_from"),
+        )
+    )

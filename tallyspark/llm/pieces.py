@@ -6,11 +6,14 @@ Each segment is merged by an agenda ordered by (score, position) of adjacent sym
 the ids of segments are remembered.  All texts of every Arrow batch are also encoded and
 decoded by the sentencepiece library, and a difference raises an error.
 
-Defined results: null and empty texts have no ids and decode to ''.
+Defined results: null and empty texts have no ids and decode to ''; very long texts are encoded whole;
+repeated rows and rows without doc_id are encoded each by itself; other columns pass through, but
+for columns called ``n_tokens``, ``ids`` and ``decoded``, which are replaced.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 from array import array
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, without
 
 MARK = "▁"
 #: Segments remembered by one Python worker; the table is emptied when full.
@@ -31,6 +34,10 @@ REMEMBERED = 400_000
 CHECK_EVERY = 1
 
 
+# the library puts one replacement character for every byte that is no part of a character
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 class MergeCodec:
     """Ids of texts as the library gives them, without begin and end ids."""
 
@@ -52,6 +59,7 @@ class MergeCodec:
         self.ranks = {piece: best[score] for piece, score in self.scores.items() if len(piece) > 1}
         shown = [p.replace(MARK, " ") for p in self.pieces]
         self.shown = [None if i in self.byte_of or i in self.hidden or i == self.unknown else p for i, p in enumerate(shown)]
+        self.odd = np.array([p is None for p in self.shown])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -102,54 +110,63 @@ class MergeCodec:
         shown = self.library.normalize(text)
         if not self.splits:
             return array("i", self.merge(shown)).tobytes()
-        known, out = self.known, []
         if MARK + MARK in shown or not shown.startswith(MARK):
             segments = self.segments.findall(shown)
         else:
-            segments = shown.split(MARK)[1:]
-            segments = [MARK + s for s in segments]
-        for segment in segments:
-            ids = known.get(segment)
-            if ids is None:
-                ids = self.older.get(segment)
-                if ids is None:
-                    ids = array("i", self.merge(segment)).tobytes()
-                if len(known) >= REMEMBERED:
-                    self.older, known = known, {}
-                    self.known = known
-                known[segment] = ids
-            out.append(ids)
-        return b"".join(out)
+            segments = [MARK + s for s in shown[1:].split(MARK)]
+        known = self.known.get
+        return b"".join([known(s) or self.remembered(s) for s in segments])
+
+    def checked(self, text: str, check: bool = True) -> tuple[bytes, str]:
+        """(ids as 32-bit integers, decoded text), held against the library."""
+        raw = self.encode_bytes(text)
+        decoded = self.decode_bytes(raw)
+        if check:
+            want = self.library.encode(text)
+            if array("i", want).tobytes() != raw or self.library.decode(want) != decoded:
+                raise ValueError(f"ids differ from the library's for {text[:80]!r}")
+        return raw, decoded
+
+    def remembered(self, segment: str) -> bytes:
+        """Ids of a segment that is not in ``known``, where it is kept from now on."""
+        ids = self.known.get(segment) or self.older.get(segment) or array("i", self.merge(segment)).tobytes()
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known[segment] = ids
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Pieces put together: word marks are spaces, the first one added by the encoder is taken away, byte runs are UTF-8."""
-        shown = self.shown
-        try:
-            whole = "".join(map(shown.__getitem__, ids))
-            return whole[1:] if whole.startswith(" ") else whole
-        except TypeError:
-            return self.decode_mixed(ids)
-
-    def decode_mixed(self, ids: list[int]) -> str:
-        out, run, first = [], bytearray(), True
-        for i in ids:
-            if (byte := self.byte_of.get(i)) is not None:
+        return self.decode_bytes(array("i", ids).tobytes())
+
+    def decode_bytes(self, raw: bytes) -> str:
+        """The same for ids as 32-bit integers; ids that are no piece of text are taken one by one, those between them at once."""
+        coded = np.frombuffer(raw, np.int32)
+        ids, odd = coded.tolist(), np.flatnonzero(self.odd[coded]).tolist()
+        shown, out, run, at, first = self.shown, [], bytearray(), 0, True
+        for k in [*odd, len(ids)]:
+            if (run and k > at) or k == len(ids):
+                out.append(run.decode("utf-8", "each_byte"))
+                run.clear()
+            if k > at:
+                text = "".join([shown[i] for i in ids[at:k]])
+                out.append(text[1:] if first and text.startswith(" ") else text)
+                first = False
+            if k == len(ids):
+                break
+            at = k + 1
+            if (byte := self.byte_of.get(ids[k])) is not None:
                 run.append(byte)
                 first = False
                 continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i in self.hidden:
-                continue
-            piece = " \u2047 " if i == self.unknown else self.shown[i]
-            out.append(piece[1:] if first and i != self.unknown and piece.startswith(" ") else piece)
-            first = False
-        if run:
-            out.append(run.decode("utf-8", "replace"))
+            out.append(run.decode("utf-8", "each_byte"))
+            run.clear()
+            if ids[k] not in self.hidden:
+                out.append(" \u2047 ")
+                first = False
         return "".join(out)
 
 
@@ -160,6 +177,7 @@ def codec(model: str) -> MergeCodec:
 
 def encode_texts(docs: DataFrame, model: str, check_every: int = CHECK_EVERY) -> DataFrame:
     """docs' other columns with n_tokens, ids (array of int) and decoded text in place of ``text``."""
+    docs = without(docs, "n_tokens", "ids", "decoded")
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*others, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     at = docs.columns.index("text")
@@ -170,12 +188,8 @@ def encode_texts(docs: DataFrame, model: str, check_every: int = CHECK_EVERY) ->
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                raw = [made.encode_bytes(t) for t in texts]
-                ids = [array("i", x).tolist() for x in raw]
-                decoded = [made.decode(x) for x in ids]
-                for i in range(0, len(texts), check_every):
-                    if (want := made.library.encode(texts[i])) != ids[i] or made.library.decode(want) != decoded[i]:
-                        raise ValueError(f"ids differ from the library's for {texts[i][:80]!r}")
+                done = {text: made.checked(text, i % check_every == 0) for i, text in enumerate(dict.fromkeys(texts))}
+                raw, decoded = [done[t][0] for t in texts], [done[t][1] for t in texts]
                 kept = [c for i, c in enumerate(batch.columns) if i != at]
                 lengths = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())

@@ -91,11 +91,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a file of its source's tree: two directory levels by the leading digits of its id."""
+    """Each document is a file of its source's tree, in directories of ten thousand and of a thousand ids; one of fewer than 100 words is named as a notice."""
     from .licenses import scan
 
     digits = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    path = F.concat_ws("/", "source", F.substring(digits, 1, 9), F.substring(digits, 10, 2), digits)
+    short = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")) < 100
+    path = F.concat_ws("/", "source", F.substring(digits, 1, 8), F.substring(digits, 9, 1), F.concat(F.when(short, "NOTICE-").otherwise("text-"), digits))
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
 
 

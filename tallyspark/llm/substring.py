@@ -14,7 +14,8 @@ a whole and don't take part in the search.
 
 Defined results: null, empty and blank texts have no words; texts of fewer words than a window
 lose nothing; rows with equal doc_id count as one document, so they don't remove each other's
-words; a null doc_id never owns a window and loses nothing; other columns pass through.
+words; a null doc_id never owns a window and loses nothing; very long texts are searched whole; other columns
+pass through, but for columns called ``n_words``, ``n_removed`` and ``repeats``, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, discard, gram_hashes, materialize, small_batches, spare
+from .common import Words, chunks, discard, gram_hashes, materialize, small_batches, spare, without
 
 GRAM, WINNOW = 5, 9
 WINDOW = GRAM + WINNOW - 1
@@ -126,6 +127,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     repeats: [start, end) of the maximal repeats in words.  A text that loses nothing stays as it is.
     """
+    docs = without(docs, "n_words", "n_removed", "repeats")
     repeated, copies = repeated_windows(docs)
     names = docs.columns
     flags = repeated.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copied")))

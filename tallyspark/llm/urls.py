@@ -1,12 +1,19 @@
 """URL verdicts: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Features are length, depth, digit ratio, entropy, hyphens, labels and parameter counts of the
-url and how often its last host label occurs among all urls.  The trees are fitted on a
-bounded sample of labelled urls (``MAX_LABELLED`` different urls with the smallest hashes).
+url, and statistics of its last host label: its share of all urls and how many labelled urls of
+either kind end in it.  The trees are fitted on a bounded sample of labelled urls
+(``MAX_LABELLED`` different urls with the smallest hashes).  Urls are scored where their rows lie; the
+shares, of which there are at most 1 / ``LEAST_SHARE``, are broadcast.
+
+Labels come from a table of (url, label) rows.  Without one, urls whose host has one of the words
+``JUNK`` are the positive examples; this stands in for a table that the test data lack.
 
 Defined results: a null url and one without ``://`` have an empty host and path, fit no rule
-and get the trees' verdict for empty features; equal urls get equal verdicts; other columns
-pass through; without labels of both kinds everything is allowed.
+and get the trees' verdict for empty features; equal urls get equal verdicts, repeated rows each their own; very long
+urls are read whole; of rules of equal length that fit the later one counts; a url with
+both labels has label 1; without labels of both kinds everything is allowed.  Other columns
+pass through, but for columns called host, path, rule, junk_score and verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spare
+from .common import materialize, spare, without
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Host words that label a url as junk for training; no feature sees words.
 JUNK = ["spam", "pills", "casino", "bets", "adult", "ads-track"]
 MAX_LABELLED, ROUNDS, DEPTH, BINS, RATE = 20_000, 60, 3, 32, 0.2
-FEATURES = ["length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "host_entropy", "hyphens", "labels", "parameters", "fragment", "longest_label", "suffix_share"]
+#: A host label of a smaller share of all urls counts as one of no share.
+LEAST_SHARE = 1e-5
+FEATURES = ["length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "host_entropy", "hyphens", "labels", "parameters", "fragment", "longest_label", "suffix_share", "suffix_ones", "suffix_zeros"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,13 +64,17 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def lexical(url: str | None, host: str, path: str, share: float) -> list[float]:
+def suffix_of(host: str) -> str:
+    return host.rpartition(".")[2]
+
+
+def lexical(url: str | None, host: str, path: str, share: float, ones: int, zeros: int) -> list[float]:
     url = url or ""
     query = url.partition("?")[2].partition("#")[0]
     labels = host.split(".") if host else []
     return [
         len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / max(1, len(url)), entropy(url), entropy(host),
-        host.count("-"), len(labels), len([p for p in query.split("&") if p]), float("#" in url), max(map(len, labels), default=0), share,
+        host.count("-"), len(labels), len([p for p in query.split("&") if p]), float("#" in url), max(map(len, labels), default=0), share, ones, zeros,
     ]
 
 
@@ -129,47 +142,72 @@ class BoostedTrees:
 
 def with_suffix_share(pages: DataFrame, host: str, path: str, share: str) -> DataFrame:
     """pages with columns for host, path, and the share of urls that end in the same host label."""
-    suffix, n, total = spare([*pages.columns, host, path, share], "suffix", "n", "total")
+    suffix, n = spare([*pages.columns, host, path, share], "suffix", "n")
     found_host, found_path = host_and_path(F.col("url"))
     parts = pages.withColumns({host: found_host, path: found_path}).withColumn(suffix, F.substring_index(host, ".", -1))
-    counts = parts.groupBy(suffix).agg(F.count("*").alias(n))
-    rows = counts.agg(F.sum(n).alias(total))
-    return parts.join(counts.crossJoin(F.broadcast(rows)), suffix, "left").withColumn(share, F.col(n) / F.col(total)).drop(n, total, suffix)
+    counts = materialize(parts.groupBy(suffix).agg(F.count("*").alias(n)))
+    total = counts.agg(F.sum(n)).first()[0] or 1
+    shares = counts.filter(F.col(n) >= LEAST_SHARE * total).select(suffix, (F.col(n) / total).alias(share))
+    return parts.join(F.broadcast(shares), suffix, "left").withColumn(share, F.coalesce(share, F.lit(0.0))).drop(suffix)
 
 
 def junk_label(host: Column) -> Column:
     return F.when(F.greatest(*[F.instr(host, word) for word in JUNK]) > 0, 1).otherwise(0)
 
 
-def train(labelled: DataFrame) -> BoostedTrees:
-    """Trees for rows (url, host, path, share, label): label is 1, 0 or null (not used)."""
+class Model:
+    """Trees, and how many labelled urls of either kind end in a host label."""
+
+    def __init__(self, rows: list[tuple[str, str, str, float, int]] = ()):
+        self.trees, self.ones, self.zeros = BoostedTrees(), Counter(), Counter()
+        y = np.array([r[4] for r in rows], float)
+        if len(y) and y.min() < y.max():
+            for _, host, _, _, label in rows:
+                (self.ones if label else self.zeros)[suffix_of(host)] += 1
+            # a url's own label isn't among the counts it is trained with
+            x = [lexical(u, h, p, s, self.ones[suffix_of(h)] - label, self.zeros[suffix_of(h)] - 1 + label) for u, h, p, s, label in rows]
+            self.trees.fit(np.array(x, float), y)
+
+    def predict(self, rows: Iterable[tuple[str | None, str, str, float]]) -> np.ndarray:
+        x = [lexical(u, h, p, s, self.ones[suffix_of(h)], self.zeros[suffix_of(h)]) for u, h, p, s in rows]
+        return self.trees.predict(np.array(x, float).reshape(-1, len(FEATURES)))
+
+
+def train(labelled: DataFrame) -> Model:
+    """Model of rows (url, host, path, share, label): label is 1, 0 or null (not used)."""
     known = labelled.filter("url is not null and label is not null")
     rows = known.groupBy("url", "host", "path").agg(F.max("share").alias("share"), F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED).collect()
-    y = np.array([r["label"] for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return BoostedTrees()
-    return BoostedTrees().fit(np.array([lexical(r["url"], r["host"], r["path"], r["share"]) for r in rows], float), y)
+    return Model([(r["url"], r["host"], r["path"], r["share"], int(r["label"])) for r in rows])
+
 
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """pages with host, path, rule, junk_score and verdict.
 
-def judge(pages: DataFrame, rules=RULES, label: Column | None = None) -> DataFrame:
-    """pages with host, path, rule, junk_score and verdict; label, by default the junk words' verdict on the host, trains the trees."""
+    labelled: (url, label) rows that train the trees, whether or not pages has these urls.
+    """
+    added = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("junk_score", T.DoubleType()), ("verdict", T.StringType())]
+    pages = without(pages, *dict(added))
     host, path, share, rule, ruled = spare(pages.columns, "host", "path", "share", "rule", "ruled")
     parts = with_suffix_share(pages, host, path, share)
-    label = junk_label(F.col(host)) if label is None else label
-    trained = train(parts.select("url", F.col(host).alias("host"), F.col(path).alias("path"), F.col(share).alias("share"), label.alias("label")))
-    sent = pages.sparkSession.sparkContext.broadcast(trained)
+    named = [F.col(host).alias("host"), F.col(path).alias("path"), F.col(share).alias("share")]
+    if labelled is None:
+        examples = parts.select("url", *named, junk_label(F.col(host)).alias("label"))
+    else:
+        marks = labelled.filter("url is not null").groupBy("url").agg(F.max("label").alias("label"))
+        suffixes = parts.groupBy(F.substring_index(host, ".", -1).alias("suffix")).agg(F.max(share).alias("share")).filter("share > 0")
+        found_host, found_path = host_and_path(F.col("url"))
+        apart = marks.select("url", found_host.alias("host"), found_path.alias("path"), "label")
+        examples = apart.join(F.broadcast(suffixes), F.substring_index("host", ".", -1) == F.col("suffix"), "left").select("url", "host", "path", F.coalesce("share", F.lit(0.0)).alias("share"), "label")
+    sent = pages.sparkSession.sparkContext.broadcast(train(examples))
     found, verdict = apply_rules(F.col(host), F.col(path), rules)
     marked = parts.withColumns({rule: found, ruled: verdict})
-    added = [("host", T.StringType()), ("path", T.StringType()), ("rule", T.StringType()), ("junk_score", T.DoubleType()), ("verdict", T.StringType())]
-    kept = [f for f in pages.schema.fields if f.name not in dict(added)]
+    kept = pages.schema.fields
 
     def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = sent.value
         for batch in batches:
-            x = np.array([lexical(*row) for row in zip(batch["url"], batch[host], batch[path], batch[share].fillna(0.0))], float).reshape(-1, len(FEATURES))
             out = batch[[f.name for f in kept]].copy()
             out["host"], out["path"], out["rule"] = batch[host], batch[path], batch[rule]
-            out["junk_score"] = trees.predict(x)
+            out["junk_score"] = sent.value.predict(zip(batch["url"], batch[host], batch[path], batch[share]))
             out["verdict"] = batch[ruled].where(batch[ruled].notna(), np.where(out["junk_score"] >= 0.5, "block", "allow"))
             yield out
 
