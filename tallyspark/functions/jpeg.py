@@ -17,6 +17,9 @@ from ..operators.blocks import zigzag
 
 #: Comment that marks files this engine has written.
 MARKER = b"tallyspark"
+# Names that gain maps and motion photos go by.
+GAIN_MAPS = [b"hdrgm", b"HDRGainMap", b"aux:hdrgainmap"]
+MOTION = [b"MotionPhoto", b"MicroVideo"]
 _ALONE = {0x01, *range(0xD0, 0xD9)}
 _FRAMES = {0xC0: "baseline", 0xC1: "extended", 0xC2: "progressive"}
 _SOF = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
@@ -29,9 +32,14 @@ def is_jpeg(content):
 
 def segments(data: bytes) -> list[tuple[int, bytes]]:
     """(marker, body) up to the first scan; stops at anything malformed."""
+    return walk(data)[0]
+
+
+def walk(data: bytes) -> tuple[list[tuple[int, bytes]], int | None]:
+    """Segments up to the first scan, and where that scan's marker is; None if something malformed comes before it."""
     out, at = [], 2
     if data[:2] != b"\xff\xd8":
-        return out
+        return out, None
     while at + 1 < len(data):
         if data[at] != 0xFF:
             break
@@ -49,9 +57,9 @@ def segments(data: bytes) -> list[tuple[int, bytes]]:
             break
         out.append((marker, data[at + 2 : at + size]))
         if marker == 0xDA:
-            break
+            return out, at - 2
         at += size
-    return out
+    return out, None
 
 
 def inspect(data: bytes) -> dict | None:
@@ -67,13 +75,17 @@ def inspect(data: bytes) -> dict | None:
             out["adobe_transform"] = body[11]
         elif marker == 0xE1 and body[:6] == b"Exif\0\0":
             out["orientation"] = orientation(body[6:])
-        elif marker == 0xE1 and b"hdrgm:Version" in body:
-            out["gain_map"] = True
         elif marker == 0xFE and body.startswith(MARKER):
             out["has_marker"] = True
+    out["gain_map"] = has_gain_map(data)
     return out if out["kind"] else None
 
 
+def has_gain_map(data: bytes) -> bool:
+    """A second image with the light that a wide range needs, by any of the names it goes by, anywhere in the file."""
+    return any(name in data for name in GAIN_MAPS)
+
+
 def _luma_table(body: bytes) -> list[int] | None:
     at = 0
     while at < len(body):
@@ -92,17 +104,18 @@ def _luma_table(body: bytes) -> list[int] | None:
 
 
 def primary_end(data: bytes) -> int | None:
-    """Where the first image ends: behind the first end marker after the first scan."""
-    scan = data.find(b"\xff\xda")
-    end = data.find(b"\xff\xd9", scan + 2) if scan >= 0 else -1
+    """Where the first image ends: behind the first end marker after its scan; thumbnails inside header segments don't count."""
+    scan = walk(data)[1]
+    end = data.find(b"\xff\xd9", scan) if scan is not None else -1
     return end + 2 if end >= 0 else None
 
 
 def has_embedded_media(data: bytes) -> bool:
-    """A motion-photo packet, or a video container behind the image."""
-    head = any(m == 0xE1 and (b"MotionPhoto" in b or b"MicroVideo" in b) for m, b in segments(data))
+    """A motion-photo packet, or a video container anywhere behind the image."""
+    if any(name in data for name in MOTION):
+        return True
     end = primary_end(data)
-    return head or (end is not None and b"ftyp" in data[end : end + 64])
+    return end is not None and data.find(b"ftyp", end) >= 0
 
 
 def _ifd(tiff: bytes, at: int, order: str) -> list[tuple[int, int, int, int]]:
@@ -156,7 +169,7 @@ def strip_gps(tiff: bytes) -> bytes:
         at = struct.unpack_from(order + "I", tiff, place)[0]
         inner = _ifd(tiff, at, order)
         for _, kind, count, value in inner:
-            size = _SIZES.get(kind, 1) * count
+            size = _SIZES.get(kind, 0) * count
             if size > 4:
                 where = struct.unpack_from(order + "I", tiff, value)[0]
                 if where + size <= len(out):
@@ -254,7 +267,7 @@ HEADER = T.StructType(
     [
         T.StructField("kind", T.StringType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("bits", T.LongType()),
         T.StructField("components", T.LongType()), T.StructField("table", T.ArrayType(T.IntegerType())), T.StructField("adobe_transform", T.IntegerType()),
-        T.StructField("orientation", T.LongType()), T.StructField("has_marker", T.BooleanType()), T.StructField("gain_map", T.BooleanType()), T.StructField("embedded", T.BooleanType()),
+        T.StructField("orientation", T.LongType()), T.StructField("has_marker", T.BooleanType()), T.StructField("gain_map", T.BooleanType()), T.StructField("embedded", T.BooleanType()), T.StructField("indexed", T.BooleanType()),
     ]
 )
 
@@ -269,30 +282,47 @@ def with_headers(photos: DataFrame, content: str = "content") -> DataFrame:
             for raw in batch[content]:
                 data = bytes(raw) if raw is not None else b""
                 found = inspect(data)
-                rows.append({**found, "embedded": has_embedded_media(data)} if found else dict.fromkeys(f.name for f in HEADER))
+                rows.append({**found, "embedded": has_embedded_media(data), "indexed": bool(secondary_images(data))} if found else dict.fromkeys(f.name for f in HEADER))
             made = pd.DataFrame(rows, columns=HEADER.names, index=batch.index, dtype=object)
             yield pd.concat([batch.drop(columns=[content]), made], axis=1)
 
     return photos.mapInPandas(read, T.StructType([*others, *HEADER.fields]))
 
 
-def synthetic_jpeg(kind: str, width: int, height: int, bits: int, components: int, table: list[int], turn: int, marked: bool, embedded: bool) -> bytes:
-    """A file that is all header: what ``inspect`` needs and an empty scan."""
-    seg = lambda marker, body: b"\xff" + bytes([marker]) + (len(body) + 2).to_bytes(2, "big") + body
+def segment(marker: int, body: bytes) -> bytes:
+    return b"\xff" + bytes([marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def synthetic_jpeg(kind: str, width: int, height: int, bits: int, components: int, table: list[int], turn: int, marked: bool, embedded: int, gain_map: int, thumbnail: bool) -> bytes:
+    """A file that is all header: what ``inspect`` needs and an empty scan.
+
+    embedded: 0 none, 1 a motion-photo packet, 2 a video behind the image; gain_map: 0 none, else which of the names it has.
+    """
     tiff = b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHIHH", 0x0112, 3, 1, turn, 0) + b"\0\0\0\0"
+    small = b"\xff\xd8" + segment(0xDA, b"\0" * 6) + b"\x33\xff\xd9" if thumbnail else b""
     frame = struct.pack(">BHHB", bits, height, width, components) + b"".join(bytes([c + 1, 0x11, 0]) for c in range(components))
     sof = {"baseline": 0xC0, "progressive": 0xC2, "exotic": 0xC3}[kind]
-    xmp = seg(0xE1, b"http://ns.adobe.com/xap/1.0/\0<x MotionPhoto='1'/>") if embedded else b""
-    parts = [seg(0xE1, b"Exif\0\0" + tiff), xmp, seg(0xFE, MARKER) if marked else b"", seg(0xDB, b"\0" + bytes(table[p] for p in zigzag())), seg(sof, frame), seg(0xDA, b"\0" * 6)]
-    return b"\xff\xd8" + b"".join(parts) + b"\x11\x22\xff\xd9"
+    xmp = segment(0xE1, b"http://ns.adobe.com/xap/1.0/\0<x MotionPhoto='1'/>") if embedded == 1 else b""
+    light = segment(0xE2, b"urn:" + GAIN_MAPS[gain_map - 1]) if gain_map else b""
+    parts = [segment(0xE1, b"Exif\0\0" + tiff + small), xmp, light, segment(0xFE, MARKER) if marked else b"", segment(0xDB, b"\0" + bytes(table[p] for p in zigzag())), segment(sof, frame), segment(0xDA, b"\0" * 6)]
+    video = bytes(100) + b"\0\0\0\x18ftypmp42" if embedded == 2 else b""
+    return b"\xff\xd8" + b"".join(parts) + b"\x11\x22\xff\xd9" + video
 
 
 def synthesize(photos: DataFrame) -> DataFrame:
-    """(id, content) of photos with kind, width, height, bits, components, table, orientation, has_marker, embedded."""
+    """(id, content) of photos with kind, width, height, bits, components, table, orientation, has_marker, embedded, gain_map."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = zip(b["kind"], b["width"], b["height"], b["bits"], b["components"], b["table"], b["orientation"], b["has_marker"], b["embedded"])
-            yield pd.DataFrame({"id": b["id"], "content": [synthetic_jpeg(k, int(w), int(h), int(d), int(c), [int(x) for x in t], int(o), bool(m), bool(e)) for k, w, h, d, c, t, o, m, e in rows]})
-
-    return photos.select("id", "kind", "width", "height", "bits", "components", "table", "orientation", "has_marker", "embedded").mapInPandas(make, "id long, content binary")
+            rows = zip(b["id"], b["kind"], b["width"], b["height"], b["bits"], b["components"], b["table"], b["orientation"], b["has_marker"], b["embedded"], b["gain_map"])
+            yield pd.DataFrame(
+                {
+                    "id": b["id"],
+                    "content": [
+                        synthetic_jpeg(k, int(w), int(h), int(d), int(c), [int(x) for x in t], int(o), bool(m), (1 + i % 2) * bool(e), (1 + i // 4 % 3) * bool(g), i % 5 == 0)
+                        for i, k, w, h, d, c, t, o, m, e, g in rows
+                    ],
+                }
+            )
+
+    return photos.select("id", "kind", "width", "height", "bits", "components", "table", "orientation", "has_marker", "embedded", "gain_map").mapInPandas(make, "id long, content binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -196,9 +197,9 @@ def discard_all(spark, sf_dir):
     return maintenance.discard_finished(state.sessions, state.backups, state.disk)[0].select("id", "saved_bytes", "can_undo")
 
 
-def _unrecorded(state: State) -> DataFrame:
-    """Journal lines of every 97th session; every fiftieth line is cut short."""
-    lines = journal.journal_lines(state.backups.filter("cast(session_id as bigint) % 97 = 0"))
+def _journal(backups: DataFrame) -> DataFrame:
+    """Journal lines of backups; every fiftieth line is cut short."""
+    lines = journal.journal_lines(backups)
     return lines.withColumn("line", F.expr("CASE WHEN (cast(session_id as bigint) + idx) % 50 = 0 THEN substring(line, 1, 20) ELSE line END"))
 
 
@@ -210,13 +211,16 @@ FROM v_journal j JOIN v_disk d ON d.path = j.backup GROUP BY j.session_id)
 SELECT id, photos, photos AS optimized, original_bytes, output_bytes, greatest(original_bytes - output_bytes, 0) AS saved_bytes, true AS can_undo, false AS undone FROM s""")
 def recover_interrupted(spark, sf_dir):
     state = State(spark, sf_dir)
+    # the scenario: every 97th session has no record yet; the journals of all sessions are read
     recorded = state.sessions.filter("cast(id as bigint) % 97 <> 0")
-    return maintenance.recover(journal.parse_journal(_unrecorded(state)), recorded, state.disk)
+    return maintenance.recover(journal.parse_journal(_journal(state.backups)), recorded, state.disk)
 
 
-@query(f"WITH {views.BACKUPS}, {_JOURNAL} SELECT session_id, idx, original, backup, output, output_bytes AS written_bytes, started_at AS modified_ms FROM v_journal")
+@query(f"""WITH {views.BACKUPS} SELECT session_id, idx, original, backup, output, output_bytes AS written_bytes, started_at AS modified_ms FROM v_backups
+WHERE (CAST(session_id AS BIGINT) + idx) % 50 <> 0""")
 def journal_roundtrip(spark, sf_dir):
-    parsed = journal.parse_journal(_unrecorded(State(spark, sf_dir)))
+    """The journal lines of all backups, read back; those that were cut short are skipped."""
+    parsed = journal.parse_journal(_journal(State(spark, sf_dir).backups))
     return parsed.select("session_id", "idx", "original", "backup", "output", F.col("written.bytes").alias("written_bytes"), F.col("written.modifiedMs").alias("modified_ms"))
 
 
@@ -425,13 +429,26 @@ def strength_targets(spark, sf_dir):
     return decisions.ceiling_targets(strengths(spark), best).select("id", "strength", (F.col("ceiling_global") * 10).cast("long").alias("global10"), (F.col("ceiling_worst") * 10).cast("long").alias("worst10"))
 
 
-@query()
+_SLACK = "CASE WHEN id % 50 = 0 THEN -10 ELSE 8 * ({0} - (60 + id % 30)) - CASE WHEN {0} % 7 = 0 THEN 3 ELSE 0 END END"
+
+
+@query(f"""WITH RECURSIVE {views.PHOTOS},
+r AS (SELECT id, 0 AS probes, 78::BIGINT AS at, NULL::BIGINT AS fq, NULL::DOUBLE AS fs, NULL::BIGINT AS pq, NULL::DOUBLE AS ps, false AS settled FROM v_photos
+UNION ALL
+SELECT id, probes + 1, CAST(CASE WHEN settled2 THEN at WHEN pq2 IS NOT NULL AND fq2 IS NOT NULL THEN least(greatest(ceil(fq2 + ((-fs2) * (pq2 - fq2)) / (ps2 - fs2)), fq2 + 1), pq2 - 1)
+  WHEN pq2 IS NOT NULL THEN greatest(at - jump2, 45) ELSE least(at + jump2, 97) END AS BIGINT), fq2, fs2, pq2, ps2, settled2
+FROM (SELECT *, CASE WHEN moved IS NOT NULL AND abs(was - s) < 0.3::DOUBLE THEN greatest(jump, 2 * abs(moved - at)) ELSE jump END AS jump2,
+    coalesce(pq2 - fq2 <= 1, false) OR coalesce(ps2 < 0.7::DOUBLE OR pq2 <= 45, false) OR (pq2 IS NULL AND fq2 >= 97) AS settled2
+  FROM (SELECT *, CASE WHEN s >= 0 AND fq IS NULL THEN pq WHEN s < 0 AND pq IS NULL THEN fq END AS moved, CASE WHEN s >= 0 AND fq IS NULL THEN ps WHEN s < 0 AND pq IS NULL THEN fs END AS was,
+      CASE WHEN s >= 0 THEN at ELSE pq END AS pq2, CASE WHEN s >= 0 THEN s ELSE ps END AS ps2, CASE WHEN s < 0 THEN at ELSE fq END AS fq2, CASE WHEN s < 0 THEN s ELSE fs END AS fs2,
+      CASE WHEN s >= 0 THEN floor(least(greatest(abs(s) / 0.8::DOUBLE, 1), 20)) ELSE ceil(least(greatest(abs(s) / 0.8::DOUBLE, 1), 20)) END AS jump
+    FROM (SELECT *, CAST({_SLACK.format("at")} AS DOUBLE) / 10 AS s FROM r WHERE NOT settled))))
+SELECT id, pq AS quality, CAST(probes AS BIGINT) AS probes FROM r WHERE settled""")
 def lowest_passing(spark, sf_dir):
     """Bracketing search per photo at the identical strength; every fiftieth photo passes nowhere."""
-    photos = analog.photos(spark, sf_dir).select("id")
-    slack = "CASE WHEN id % 50 = 0 THEN -10 ELSE 8 * (quality - (60 + id % 30)) - CASE WHEN quality % 7 = 0 THEN 3 ELSE 0 END END AS slack10"
-    rows = photos.select("id", F.explode(F.sequence(F.lit(45), F.lit(97))).alias("quality")).selectExpr("id", "78 AS start", "45 AS low_q", "97 AS high_q", "quality", slack)
-    return search.search_qualities(rows)
+    curve = F.expr(f"transform(sequence(45, 97), q -> {_SLACK.format('q')})")
+    photos = analog.photos(spark, sf_dir).select("id", F.lit(78).alias("start"), F.lit(45).alias("low_q"), F.lit(97).alias("high_q"), curve.alias("slack10"))
+    return search.search_qualities(photos)
 
 
 @query("""SELECT user_id, event_id, count(*) OVER w AS processed, count(*) FILTER (event_type = 'error') OVER w AS failed, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) AS bytes,
@@ -481,7 +498,7 @@ CAST(sum(CAST(round(value * 100) AS BIGINT) // 3) AS BIGINT) AS output_bytes, CA
 def stream_live_stats(spark, sf_dir):
     """Live statistics of the events read as a stream up to their present end."""
     rows = stream.as_file_events(stream.event_files(spark, sf_dir))
-    return spark.read.parquet(stream.streamed_live_stats(rows, _work(spark)))
+    return stream.streamed_live_stats(rows, f"{_work(spark)}/live-{uuid.uuid4().hex}")
 
 
 def _work(spark: SparkSession) -> str:
@@ -496,14 +513,17 @@ def _work(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tallyspark-stream-")
 
 
-@query(f"""WITH {views.PHOTOS} SELECT id, kind, width, height, bits, components, orientation, has_marker, embedded,
+@query(f"""WITH {views.PHOTOS} SELECT id, kind, width, height, bits, components, orientation, has_marker, embedded, id % 4 = 0 AS gain_map,
 CAST(greatest(least(CASE WHEN quality_estimate > 0 THEN quality_estimate END, 100), 1) AS BIGINT) AS near_quality FROM v_photos""")
 def jpeg_headers(spark, sf_dir):
-    """Headers of synthetic files, read back from their bytes; the quality is within 1 of that of the table."""
-    photos = analog.photos(spark, sf_dir).withColumn("table", blocks.scaled_table(F.col("quality_estimate").cast("int")))
+    """Headers of synthetic files, read back from their bytes; the quality is within 1 of that of the table.
+
+    Videos are announced by a packet or stand far behind the image; gain maps are named in three ways; every fifth file has a thumbnail with a scan of its own.
+    """
+    photos = analog.photos(spark, sf_dir).withColumns({"table": blocks.scaled_table(F.col("quality_estimate").cast("int")), "gain_map": F.col("id") % 4 == 0})
     read = jpeg.with_headers(jpeg.synthesize(photos)).join(photos.select("id", "quality_estimate"), "id")
     near = F.when(F.abs(blocks.estimate_quality(F.col("table")) - F.col("quality_estimate")) <= 1, F.col("quality_estimate"))
-    return read.select("id", "kind", "width", "height", "bits", "components", "orientation", "has_marker", "embedded", near.alias("near_quality"))
+    return read.select("id", "kind", "width", "height", "bits", "components", "orientation", "has_marker", "embedded", "gain_map", near.alias("near_quality"))
 
 
 from . import extra  # noqa: E402,F401  registers more queries

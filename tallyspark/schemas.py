@@ -58,6 +58,16 @@ RESULT = _struct(
 )
 #: Fields without which a stored result is not a result.
 RESULT_REQUIRED = ["id", "path", "name", "status", "originalBytes", "outputBytes", "outputs", "width", "height", "millis"]
+
+
+def camel(name: str) -> str:
+    """A column's name in JSON documents."""
+    first, *rest = name.split("_")
+    return first + "".join(part.capitalize() for part in rest)
+
+
+#: A whole record as earlier versions kept it, one JSON document a session.
+RECORD = _struct(("summary", T.StructType([T.StructField(camel(f.name), f.dataType, True) for f in SESSIONS.fields]), True), ("files", T.ArrayType(RESULT), True), ("backups", T.ArrayType(JOURNAL), True))
 EVENT = _struct(
     ("kind", S, False), ("session_id", S, False), ("seq", L, False), ("total", L, True), ("status", S, True), ("converted", B, True), ("original_bytes", L, True), ("output_bytes", L, True),
 )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +13,26 @@ from pyspark.sql import functions as F
 
 from .functions.text import CSV_HEADER, csv_log
 from .operators import ledger, maintenance
-from .schemas import MODES, STRENGTHS
+from .schemas import MODES, RECORD, SESSIONS, STRENGTHS, camel
+from .sources.effects import write_atomic
+from .sources.journal import read_history_files
 from .sources.snapshots import Ledger, write_log
 
 
+def try_all(*actions: Callable[[], object]) -> list:
+    """Runs every action, whether or not others fail; then raises the first error, if there was one."""
+    results, first = [], None
+    for action in actions:
+        try:
+            results.append(action())
+        except Exception as error:  # noqa: BLE001
+            results.append(None)
+            first = first or error
+    if first:
+        raise first
+    return results
+
+
 @dataclass
 class Settings:
     """What a batch is told to do; odd values are brought in range when read."""
@@ -35,15 +53,29 @@ class Settings:
             given = json.loads(text or "{}")
         except ValueError:
             given = {}
-        known = cls.__dataclass_fields__ if isinstance(given, dict) else {}
-        out = cls(**{k: v for k, v in (given.items() if known else ()) if k in known})
+        kinds = {k: (str, type(None)) if k == "export_dir" else type(getattr(cls(), k)) for k in cls.__dataclass_fields__}
+        fits = lambda k, v: k in kinds and isinstance(v, kinds[k]) and not (kinds[k] is int and isinstance(v, bool))
+        out = cls(**{k: v for k, v in (given.items() if isinstance(given, dict) else ()) if fits(k, v)})
         out.output_mode = out.output_mode if out.output_mode in MODES else "replace"
         out.strength = out.strength if out.strength in STRENGTHS else "identical"
-        out.sizes = (out.sizes if isinstance(out.sizes, list) else [])[:4] or cls().sizes
-        days = out.retention_days if isinstance(out.retention_days, int) else 30
-        out.retention_days = min(max(days, 1), 90)
+        out.sizes = out.sizes[:4] or cls().sizes
+        out.retention_days = min(max(out.retention_days, 1), 90)
         return out
 
+    @classmethod
+    def load(cls, path: str) -> Settings:
+        """Those kept in a file; defaults if it can't be read."""
+        try:
+            with open(path, encoding="utf-8") as kept:
+                return cls.parse(kept.read())
+        except OSError:
+            return cls()
+
+    def save(self, path: str) -> None:
+        """Writes the file whole or not at all, its folder first if there is none."""
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        write_atomic(path, self.dump().encode())
+
     def dump(self) -> str:
         return json.dumps(asdict(self))
 
@@ -60,6 +92,14 @@ class Service:
     def totals(self) -> DataFrame:
         return ledger.totals(self.books.read("sessions"))
 
+    def session(self, session_id: str) -> dict:
+        """Summary, files and backups of one record; the filters reach the scans."""
+        found = self.books.read("sessions").filter(F.col("id") == session_id).head(1)
+        if not found:
+            raise KeyError("session not found")
+        of = lambda name: self.books.read(name).filter(F.col("session_id") == session_id).orderBy("idx")
+        return {"summary": found[0], "files": of("files"), "backups": of("backups")}
+
     def session_results(self, session_id: str) -> DataFrame:
         """Files of a session in order; the filter reaches the scan."""
         return self.books.read("files").filter(F.col("session_id") == session_id).orderBy("idx")
@@ -81,15 +121,41 @@ class Service:
         sessions, backups = maintenance.discard_finished(self.books.read("sessions"), self.books.read("backups"), disk)
         return self.books.commit(sessions=sessions, backups=backups)
 
-    def maintain(self, disk: DataFrame, now_ms: int | None = None) -> str:
-        """Retention, then reconciliation with what is left on disk."""
+    def maintain(self, disk: DataFrame, now_ms: int | None = None) -> str | None:
+        """Retention, then reconciliation with what is left on disk; the second runs even if the first fails, whose error comes then."""
         now = int(time.time() * 1000) if now_ms is None else now_ms
         old = maintenance.expired(disk.select(F.col("session_id").alias("id")).distinct(), now, self.settings.retention_days)
         left = disk.join(old.select(F.col("id").alias("session_id")), "session_id", "left_anti")
-        sessions, backups = maintenance.discard(self.books.read("sessions"), self.books.read("backups"), old)
-        sessions, backups = maintenance.reconcile(sessions, backups, left)
+        return try_all(lambda: self.prune(old), lambda: self.reconcile(left))[-1]
+
+    def prune(self, ids: DataFrame) -> str:
+        sessions, backups = maintenance.discard(self.books.read("sessions"), self.books.read("backups"), ids)
         return self.books.commit(sessions=sessions, backups=backups)
 
+    def reconcile(self, disk: DataFrame) -> str:
+        sessions, backups = maintenance.reconcile(self.books.read("sessions"), self.books.read("backups"), disk)
+        return self.books.commit(sessions=sessions, backups=backups)
+
+    def import_history(self, folder: str) -> int:
+        """Takes over records kept as one JSON document a file, and retires the folder by renaming it.
+
+        Records that the ledger has already stay as they are, so an import that was stopped can be run again; returns how many are new.
+        """
+        records = read_history_files(self.spark, folder, RECORD)
+        known = self.books.read("sessions").select("id") if self.books.current() else self.spark.createDataFrame([], "id string")
+        new = records.dropDuplicates(["id"]).join(known, "id", "left_anti")
+        n = new.count()
+        if n:
+            listed = lambda part: new.select(F.col("id").alias("session_id"), F.posexplode(part).alias("idx", "x"))
+            place = F.col("idx").cast("long").alias("idx")
+            files = listed("files").select(
+                "session_id", place, "x.path", "x.status", F.col("x.originalBytes").alias("original_bytes"), F.col("x.outputBytes").alias("output_bytes"),
+                F.col("x.skipReason").alias("skip_reason"), "x.error", F.to_json("x").alias("result"),
+            )
+            self.save(new.select("id", *[F.col(f"summary.{camel(f.name)}").alias(f.name) for f in SESSIONS.fields[1:]]), files, listed("backups").select("session_id", place, "x.*"))
+        os.rename(folder, f"{folder}.imported")
+        return n
+
     def export_log(self, session_id: str, path: str) -> None:
         if not path.startswith("/") and "://" not in path:
             raise ValueError("destination must be an absolute path")

@@ -1,7 +1,7 @@
 """Effects on photo files: atomic writes, replacement with a backup, exports that never overwrite, and guarded restoring.
 
-Plain functions on one file, and ``apply_results`` that runs them for the rows of a DataFrame.
-Every effect leaves either the old or the new state; temporary files go on failure.
+Plain functions on one file, and ``restore_all`` that restores the rows of a DataFrame.  Every
+effect leaves either the old or the new state; temporary files go on failure; restoring what is restored already does nothing.
 """
 
 from __future__ import annotations
@@ -94,39 +94,50 @@ def convert(source: str, path: str, data: bytes, backup: str) -> str:
     return name
 
 
-def restore(original: str, backup: str, output: str | None, written: tuple[int, int] | None) -> None:
+def restore(original: str, backup: str, output: str | None, written: tuple[int, int] | None, kept: tuple[int, int] | None = None) -> None:
     """Puts the backup back.
 
     Refuses if the output has been changed since it was written, or if a converted photo's old
-    name is taken; a converted output that has been deleted is no obstacle.
+    name is taken; a converted output that has been deleted is no obstacle.  The backup comes back
+    before a converted output goes, so one of them is always there.
+
+    kept: fingerprint of the backup.  With it a restore that has been done, or was stopped
+    before the output went, is finished and not reported as a failure.
     """
-    if output and output != original:
-        if os.path.exists(original):
+    converted = bool(output) and output != original
+    done = kept is not None and not os.path.exists(backup) and os.path.exists(original) and fingerprint(original) == tuple(kept)
+    if converted and os.path.exists(output) and written and fingerprint(output) != tuple(written):
+        raise ValueError(f"{output} has been changed")
+    if not done:
+        if converted and os.path.exists(original):
             raise FileExistsError(f"{original} is taken")
-        if os.path.exists(output):
-            if written and fingerprint(output) != tuple(written):
-                raise ValueError(f"{output} has been changed")
-            os.unlink(output)
-    elif written and os.path.exists(original) and fingerprint(original) != tuple(written):
-        raise ValueError(f"{original} has been changed")
-    os.makedirs(os.path.dirname(original), exist_ok=True)
-    shutil.move(backup, original)
+        if not converted and written and os.path.exists(original) and fingerprint(original) != tuple(written):
+            raise ValueError(f"{original} has been changed")
+        os.makedirs(os.path.dirname(original), exist_ok=True)
+        shutil.move(backup, original)
+    if converted and os.path.exists(output):
+        os.unlink(output)
+
 
+def restore_all(backups: DataFrame, results: str) -> DataFrame:
+    """Restores rows (session_id, idx, original, backup, output, written, kept) and says which ones failed and why.
 
-def restore_all(backups: DataFrame) -> DataFrame:
-    """Restores rows (session_id, idx, original, backup, output, written) and says which ones failed and why."""
+    The outcomes are written once, to the folder ``results``, and read from there, so that no action
+    restores twice; a task that is run again finds its rows restored (see ``kept``, the backups' fingerprints).
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             errors = []
             for row in batch.itertuples():
                 try:
-                    written = (row.bytes, row.modified_ms) if pd.notna(row.bytes) else None
-                    restore(row.original, row.backup, row.output if isinstance(row.output, str) else None, written)
+                    written, kept = ((int(a), int(b)) if pd.notna(a) else None for a, b in ((row.bytes, row.modified_ms), (row.kept_bytes, row.kept_ms)))
+                    restore(row.original, row.backup, row.output if isinstance(row.output, str) else None, written, kept)
                     errors.append(None)
                 except (OSError, ValueError) as e:
                     errors.append(str(e))
             yield batch[["session_id", "idx"]].assign(error=errors)
 
-    flat = backups.selectExpr("session_id", "idx", "original", "backup", "output", "written.bytes AS bytes", "written.modifiedMs AS modified_ms")
-    return flat.mapInPandas(run, "session_id string, idx long, error string")
+    flat = backups.selectExpr("session_id", "idx", "original", "backup", "output", "written.bytes AS bytes", "written.modifiedMs AS modified_ms", "kept.bytes AS kept_bytes", "kept.modifiedMs AS kept_ms")
+    flat.mapInPandas(run, "session_id string, idx long, error string").write.parquet(results)
+    return backups.sparkSession.read.parquet(results)

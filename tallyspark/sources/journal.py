@@ -43,4 +43,4 @@ def decode_results(files: DataFrame) -> DataFrame:
 def read_history_files(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Records kept as one JSON document a file; unreadable ones and odd ids are left out."""
     records = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    return records.filter(F.col("summary.id").rlike("^[A-Za-z0-9-]{1,32}$"))
+    return records.withColumn("id", F.col("summary.id")).filter(F.col("id").rlike("^[A-Za-z0-9-]{1,32}$"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,20 +27,23 @@ def as_file_events(events: DataFrame) -> DataFrame:
     )
 
 
-def streamed_live_stats(stream: DataFrame, work: str) -> str:
-    """Runs the stream to its present end and returns the folder with the statistics of every session.
+SUMS = ["processed", "converted", "optimized", "original_bytes", "output_bytes", "saved_bytes"]
 
-    Sums are a streaming aggregation, partitioned by session; each finished batch replaces the
-    folder's contents, so a restart from the checkpoint counts nothing twice.
+
+def streamed_live_stats(stream: DataFrame, work: str) -> DataFrame:
+    """Runs the stream to its present end and returns the statistics of every session so far.
+
+    Sums are a streaming aggregation in update mode, so a batch writes only the sessions it changed, into the
+    folder of its number, which a batch that is run again replaces.  The latest row of a session
+    counts.  ``work`` is the caller's folder: a later run with the same one goes on from its checkpoint.
     """
-    out = f"{work}/live-{uuid.uuid4().hex}"
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/stats")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/stats/batch={number}")
 
-    query = live_stats(stream, "session_id").writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(replace).start()
+    query = live_stats(stream, "session_id").writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{work}/checkpoint").foreachBatch(keep).start()
     query.awaitTermination()
-    return f"{out}/stats"
+    return latest(stream.sparkSession.read.parquet(f"{work}/stats"), ["session_id"], "batch", *SUMS).drop("batch")
 
 
 PHASES = "session_id string, phase string, processed long, total long, saved_bytes long"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import jpeg, text
 from tallyspark.operators import blocks, decisions
-from tallyspark.operators.search import lowest_passing
+from tallyspark.operators.search import lowest_passing, search_qualities
 from tallyspark.sources import files as listing
 from tallyspark.sources import journal
 from tallyspark.streaming import events as stream
@@ -103,16 +103,39 @@ def test_search_survives_nan_and_plateaus():
     assert lowest_passing(lambda q: -0.1 if q < 70 else 0.1, 40, 35, 98)[0] >= 70
 
 
+def test_batched_search_equals_single_searches(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(200):
+        low, high = int(rng.integers(30, 60)), int(rng.integers(61, 99))
+        curve = np.cumsum(rng.integers(-2, 12, high - low + 1)) - int(rng.integers(0, 300))
+        rows.append((i, int(rng.integers(20, 110)), low, high, [None if x % 31 == 0 else int(x) for x in curve]))
+    rows += [(200, 50, 40, 45, None), (201, 50, 40, 45, [1]), (202, 40, 40, 40, [5])]
+    photos = spark.createDataFrame(rows, "id long, start int, low_q int, high_q int, slack10 array<int>")
+    got = {r.id: (r.quality, r.probes) for r in search_qualities(photos).collect()}
+
+    def one(_, start, low, high, curve):
+        value = lambda q: curve[q - low] if curve and q - low < len(curve) else None
+        return lowest_passing(lambda q: math.nan if value(q) is None else value(q) / 10, start, low, high)
+
+    assert got == {r[0]: one(*r) for r in rows}
+    for r in rows:
+        quality, probes = got[r[0]]
+        assert probes <= r[3] - r[2] + 1 and (quality is None or r[4][quality - r[2]] >= 0)
+    plan = search_qualities(photos)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def photo(**changes):
     table = [16] * 64
-    return jpeg.synthetic_jpeg(*{**dict(kind="baseline", width=640, height=480, bits=8, components=3, table=table, turn=6, marked=True, embedded=False), **changes}.values())
+    return jpeg.synthetic_jpeg(*{**dict(kind="baseline", width=640, height=480, bits=8, components=3, table=table, turn=6, marked=True, embedded=0, gain_map=0, thumbnail=False), **changes}.values())
 
 
 def test_headers_round_trip_and_hostile_bytes():
     data = photo()
     found = jpeg.inspect(data)
     assert (found["kind"], found["width"], found["height"], found["components"], found["orientation"], found["has_marker"]) == ("baseline", 640, 480, 3, 6, True)
-    assert found["table"] == [16] * 64 and not jpeg.has_embedded_media(data) and jpeg.has_embedded_media(photo(embedded=True))
+    assert found["table"] == [16] * 64 and not jpeg.has_embedded_media(data) and jpeg.has_embedded_media(photo(embedded=1))
     for cut in range(len(data)):
         jpeg.inspect(data[:cut]), jpeg.secondary_images(data[:cut]), jpeg.has_embedded_media(data[:cut])
     rng = np.random.default_rng(1)
@@ -123,6 +146,16 @@ def test_headers_round_trip_and_hostile_bytes():
         jpeg.inspect(bytes(noise)), jpeg.secondary_images(bytes(noise))
 
 
+def test_headers_look_behind_thumbnails_and_through_the_whole_trailer():
+    plain = photo(thumbnail=True)
+    assert jpeg.primary_end(plain) == len(plain) and not jpeg.has_embedded_media(plain)
+    late = photo(thumbnail=True, embedded=2)
+    assert jpeg.primary_end(late) == len(plain) and jpeg.has_embedded_media(late) and jpeg.has_embedded_media(plain + bytes(100_000) + b"ftyp")
+    assert [jpeg.inspect(photo(gain_map=n))["gain_map"] for n in range(4)] == [False, True, True, True]
+    assert jpeg.inspect(photo() + b"aux:hdrgainmap")["gain_map"]
+    assert jpeg.primary_end(b"\xff\xd8\xff\xda") is None and jpeg.primary_end(b"\xff\xd8\xff\xe1\x00\x09Exif") is None
+
+
 def test_exif_gps_is_wiped_in_place():
     import struct
 
@@ -172,6 +205,19 @@ def test_listing_walks_in_order_and_keeps_loose_files(spark, tmp_path):
     assert got[0].root == str(tmp_path) and got[-1].root is None and got[0].bytes == 4
 
 
+def test_live_statistics_go_on_from_their_checkpoint(spark, tmp_path):
+    schema = "session_id string, seq long, status string, converted boolean, original_bytes long, output_bytes long"
+    put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+    put(0, [("s", 1, "done", False, 100, 40), ("t", 1, "failed", False, 9, 9)])
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    state = lambda df: {r.session_id: (r.processed, r.saved_bytes) for r in df.collect()}
+    assert state(stream.streamed_live_stats(events, str(tmp_path / "w"))) == {"s": (1, 60), "t": (1, 0)}
+    put(1, [("s", 2, "done", False, 10, 4)])
+    assert state(stream.streamed_live_stats(events, str(tmp_path / "w"))) == {"s": (2, 66), "t": (1, 0)}
+    batches = sorted(p.name for p in (tmp_path / "w" / "stats").iterdir())
+    assert batches == ["batch=0", "batch=1"] and spark.read.parquet(str(tmp_path / "w" / "stats" / "batch=1")).count() == 1
+
+
 def test_phase_machine_and_stream(spark, tmp_path):
     schema = "session_id string, seq long, kind string, total long, converted boolean, original_bytes long, output_bytes long"
     rows = [("s", 1, "started", 2, False, 0, 0), ("s", 2, "file", 0, False, 100, 40), ("s", 3, "file", 0, True, 100, 40), ("s", 4, "finished", 0, False, 0, 0), ("t", 1, "file", 0, False, 9, 1), ("t", 2, "started", 5, False, 0, 0)]

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.schemas import SESSIONS
-from tallyspark.service import Service, Settings
+from tallyspark.service import Service, Settings, try_all
 from tallyspark.sources import effects
+from tallyspark.sources.snapshots import Ledger
 
 
 def test_replace_and_restore(tmp_path):
@@ -37,6 +38,91 @@ def test_export_never_overwrites_and_conversion_rolls_back(tmp_path):
     assert not [p for p in os.listdir(tmp_path) if p.endswith(".tmp")]
 
 
+def test_restoring_twice_and_after_a_stop(spark, tmp_path, monkeypatch):
+    original, output, backup = (str(tmp_path / n) for n in ("a.heic", "a.jpg", "bk/0-a.heic"))
+    os.mkdir(tmp_path / "bk")
+    (tmp_path / "bk" / "0-a.heic").write_bytes(b"heic")
+    (tmp_path / "a.jpg").write_bytes(b"jpeg!")
+    kept, written = effects.fingerprint(backup), effects.fingerprint(output)
+    monkeypatch.setattr(effects.os, "unlink", lambda p: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError, match="stopped"):
+        effects.restore(original, backup, output, written, kept)
+    monkeypatch.undo()
+    assert os.path.exists(original) and os.path.exists(output)
+    rows = spark.createDataFrame([("s", 0, original, backup, output, tuple(written), tuple(kept)), ("s", 1, str(tmp_path / "b"), str(tmp_path / "none"), None, None, None)],
+                                 "session_id string, idx long, original string, backup string, output string, written struct<bytes: long, modifiedMs: long>, kept struct<bytes: long, modifiedMs: long>")
+    got = effects.restore_all(rows, str(tmp_path / "results"))
+    assert [r.error is None for r in got.orderBy("idx").collect()] == [True, False] == [r.error is None for r in got.orderBy("idx").collect()]
+    assert os.path.exists(original) and not os.path.exists(output)
+    assert effects.restore_all(rows, str(tmp_path / "again")).filter("error is null").count() == 1
+
+
+def test_a_commit_that_stops_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    rows = lambda n: spark.range(n).selectExpr("cast(id as string) id")
+    books = Ledger(spark, str(tmp_path / "l"))
+    first = books.commit(sessions=rows(3), files=rows(5))
+    for stop_at in ("create", "rename"):
+        stopped = Ledger(spark, str(tmp_path / "l"))
+
+        class Fs:
+            def __getattr__(self, name, inner=stopped._fs, stop_at=stop_at):
+                if name == stop_at:
+                    raise OSError("stopped")
+                return getattr(inner, name)
+
+        stopped._fs = Fs()
+        with pytest.raises(OSError, match="stopped"):
+            stopped.commit(sessions=rows(9))
+        assert books.current() == first and books.read("sessions").count() == 3
+    books.commit(sessions=rows(4))
+    assert books.read("sessions").count() == 4 and books.pointer()["tables"]["files"].startswith(first) and books.read("files").count() == 5
+    monkeypatch.setattr(Ledger, "numbers", lambda self: [1])
+    with pytest.raises(OSError, match="taken"):
+        Ledger(spark, str(tmp_path / "l")).commit(sessions=rows(1))
+
+
+def test_maintenance_goes_on_after_an_error(spark, tmp_path, monkeypatch):
+    done = []
+    with pytest.raises(ValueError, match="first"):
+        try_all(lambda: done.append(1), lambda: (_ for _ in ()).throw(ValueError("first")), lambda: (_ for _ in ()).throw(ValueError("second")), lambda: done.append(2))
+    assert done == [1, 2]
+    service = Service(spark, str(tmp_path / "books"))
+    monkeypatch.setattr(service, "prune", lambda ids: (_ for _ in ()).throw(OSError("no retention")))
+    monkeypatch.setattr(service, "reconcile", lambda disk: done.append("reconciled"))
+    with pytest.raises(OSError, match="no retention"):
+        service.maintain(spark.createDataFrame([("x", "1000", 9)], "path string, session_id string, bytes long"))
+    assert done[-1] == "reconciled"
+
+
+def test_earlier_histories_are_taken_over_once(spark, tmp_path):
+    import json
+
+    summary = {"id": "1000", "startedAt": 1, "finishedAt": 2, "photos": 1, "optimized": 1, "skipped": 0, "failed": 0, "originalBytes": 9, "outputBytes": 4, "savedBytes": 5, "outputMode": "replace", "strength": "identical", "canUndo": True, "undone": False}
+    result = {"id": 0, "path": "/a", "name": "a", "status": "done", "originalBytes": 9, "outputBytes": 4, "outputs": [], "width": 1, "height": 1, "millis": 1}
+    folder = tmp_path / "sessions"
+    folder.mkdir()
+    (folder / "1000.json").write_text(json.dumps({"summary": summary, "files": [result], "backups": [{"original": "/a", "backup": "/b"}]}))
+    (folder / "odd.json").write_text(json.dumps({"summary": {**summary, "id": "../etc"}, "files": [], "backups": []}))
+    (folder / "broken.json").write_text("{")
+    service = Service(spark, str(tmp_path / "books"))
+    assert service.import_history(str(folder)) == 1 and not folder.exists() and (tmp_path / "sessions.imported").is_dir()
+    found = service.session("1000")
+    assert found["summary"].saved_bytes == 5 and [r.path for r in found["files"].collect()] == ["/a"] and [r.backup for r in found["backups"].collect()] == ["/b"]
+    with pytest.raises(KeyError, match="session not found"):
+        service.session("2000")
+    os.rename(tmp_path / "sessions.imported", folder)
+    assert service.import_history(str(folder)) == 0 and service.totals().first().sessions == 1
+
+
+def test_settings_are_kept_in_a_file(tmp_path):
+    path = str(tmp_path / "new" / "settings.json")
+    assert Settings.load(path) == Settings()
+    Settings(retention_days=7, convert_heic=True).save(path)
+    assert Settings.load(path) == Settings(retention_days=7, convert_heic=True) and os.listdir(tmp_path / "new") == ["settings.json"]
+    odd = Settings.parse('{"keep_backups": "yes", "retention_days": true, "export_dir": 5, "sizes": {}}')
+    assert odd == Settings()
+
+
 def test_settings_are_repaired():
     assert Settings.parse("{") == Settings() == Settings.parse(None) == Settings.parse("[]")
     odd = Settings.parse('{"retention_days": 1000, "strength": "?", "sizes": [], "unknown": 1, "output_mode": "export"}')
