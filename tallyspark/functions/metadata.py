@@ -89,6 +89,11 @@ def set_xmp_orientation(xmp: str, value: int) -> str:
     return re.sub(r"(<tiff:Orientation\s*>\s*)\d+(\s*</tiff:Orientation\s*>)", rf"\g<1>{value}\g<2>", said)
 
 
+def upright(xmp: Column) -> Column:
+    """The same for a column of XMP texts and upright pixels."""
+    return F.regexp_replace(F.regexp_replace(xmp, r"(tiff:Orientation\s*=\s*[\"'])\d+([\"'])", "$11$2"), r"(<tiff:Orientation\s*>\s*)\d+(\s*</tiff:Orientation\s*>)", "$11$2")
+
+
 def prepared(segments: Segments, strip_location: bool, marker_text: str) -> Segments:
     """What of a file's metadata its new version gets, in the same order, with our marker at the end."""
     out = []

@@ -156,3 +156,9 @@ def unique_names(names: DataFrame, folder: str, name: str, order: str) -> DataFr
     number = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__k") + 1, lambda x, t: F.when(t <= x, x + 1).otherwise(x))
     made = F.concat(F.col("__stem"), F.lit(" "), number.cast("string"), F.col("__ext"))
     return joined.withColumn("unique", F.when(F.col("__k") == 0, F.col(name)).otherwise(made)).select(*names.columns, "unique")
+
+
+def noise(number: Column) -> Column:
+    """A number between 0 and 1 that looks random and is the same everywhere."""
+    x = F.sin(number * F.lit(12.9898)) * F.lit(43758.5453)
+    return x - F.floor(x)

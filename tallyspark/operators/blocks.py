@@ -102,6 +102,37 @@ def watch_list(tiles: DataFrame, key: str = "id") -> DataFrame:
     return ranked.filter(F.col("rank") <= F.greatest(F.floor(F.col("n") / WATCH_SHARE), F.lit(WATCH_MIN))).drop("n")
 
 
+def tile_difficulty(errors: DataFrame, key: str = "id") -> DataFrame:
+    """Mean error of each tile, in hundredths rounded down, from pixel rows (key, width, height, x, y, error): partial sums, no row is joined to a tile."""
+    side = F.least(F.greatest(F.floor(F.greatest("width", "height") / 6), F.lit(MIN_TILE)), F.lit(MAX_TILE))
+
+    def place(at: str, length: str) -> Column:
+        return F.least(F.floor(F.col(at) / side), F.size(spans(F.col(length), side)) - 1)
+
+    columns = F.size(spans(F.col("width"), side))
+    placed = errors.select(key, (place("y", "height") * columns + place("x", "width")).cast("long").alias("tile"), "error")
+    return placed.groupBy(key, "tile").agg(F.sum("error").alias("total"), F.count("*").alias("pixels")).select(key, "tile", F.expr("total * 100 div pixels").alias("difficulty_hundredths"), "pixels")
+
+
+def half_resolution(pixels: DataFrame, key: str = "id") -> DataFrame:
+    """Means of 2 x 2 pixels from rows (key, x, y, v), rounded; of those that there are."""
+    summed = pixels.groupBy(key, F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    return summed.select(key, "x", "y", F.expr("(total * 4 div n + 2) div 4").alias("v"))
+
+
+def upright(x: Column, y: Column, width: Column, height: Column, orientation: Column) -> tuple[Column, Column]:
+    """Where a stored pixel is shown."""
+    back_x, back_y = width - 1 - x, height - 1 - y
+    shown_x = F.when(orientation.isin(2, 3), back_x).when(orientation.isin(5, 8), y).when(orientation.isin(6, 7), back_y).otherwise(x)
+    shown_y = F.when(orientation.isin(3, 4), back_y).when(orientation.isin(5, 6), x).when(orientation.isin(7, 8), back_x).otherwise(y)
+    return shown_x, shown_y
+
+
+def as_rgb(gray: Column) -> Column:
+    """Interleaved channels of an array of gray values."""
+    return F.flatten(F.transform(gray, lambda v: F.array(v, v, v)))
+
+
 def half_res(pixels, width: int, height: int, channels: int):
     """2x2 box average of interleaved bytes, rounded; an odd last row or column is dropped."""
     import numpy as np

@@ -83,3 +83,8 @@ def ceiling_targets(strengths: DataFrame, best: DataFrame) -> DataFrame:
         F.least("target_global", F.col("best_global") - F.col("margin_global")).alias("ceiling_global"),
         F.least("target_worst", F.col("best_worst") - F.col("margin_worst")).alias("ceiling_worst"),
     )
+
+
+def gated_slack(tiles: Column, whole: Column) -> Column:
+    """Slack of a candidate: that of its watched tiles alone if they fail already, else the smaller of both."""
+    return F.when(tiles < 0, tiles).otherwise(F.least(tiles, whole))

@@ -433,16 +433,16 @@ _SLACK = "CASE WHEN id % 50 = 0 THEN -10 ELSE 8 * ({0} - (60 + id % 30)) - CASE
 
 
 @query(f"""WITH RECURSIVE {views.PHOTOS},
-r AS (SELECT id, 0 AS probes, 78::BIGINT AS at, NULL::BIGINT AS fq, NULL::DOUBLE AS fs, NULL::BIGINT AS pq, NULL::DOUBLE AS ps, false AS settled FROM v_photos
+r AS (SELECT id, 0 AS probes, 78::BIGINT AS probe, NULL::BIGINT AS fq, NULL::DOUBLE AS fs, NULL::BIGINT AS pq, NULL::DOUBLE AS ps, false AS settled FROM v_photos
 UNION ALL
-SELECT id, probes + 1, CAST(CASE WHEN settled2 THEN at WHEN pq2 IS NOT NULL AND fq2 IS NOT NULL THEN least(greatest(ceil(fq2 + ((-fs2) * (pq2 - fq2)) / (ps2 - fs2)), fq2 + 1), pq2 - 1)
-  WHEN pq2 IS NOT NULL THEN greatest(at - jump2, 45) ELSE least(at + jump2, 97) END AS BIGINT), fq2, fs2, pq2, ps2, settled2
-FROM (SELECT *, CASE WHEN moved IS NOT NULL AND abs(was - s) < 0.3::DOUBLE THEN greatest(jump, 2 * abs(moved - at)) ELSE jump END AS jump2,
+SELECT id, probes + 1, CAST(CASE WHEN settled2 THEN probe WHEN pq2 IS NOT NULL AND fq2 IS NOT NULL THEN least(greatest(ceil(fq2 + ((-fs2) * (pq2 - fq2)) / (ps2 - fs2)), fq2 + 1), pq2 - 1)
+  WHEN pq2 IS NOT NULL THEN greatest(probe - jump2, 45) ELSE least(probe + jump2, 97) END AS BIGINT), fq2, fs2, pq2, ps2, settled2
+FROM (SELECT *, CASE WHEN moved IS NOT NULL AND abs(was - s) < 0.3::DOUBLE THEN greatest(jump, 2 * abs(moved - probe)) ELSE jump END AS jump2,
     coalesce(pq2 - fq2 <= 1, false) OR coalesce(ps2 < 0.7::DOUBLE OR pq2 <= 45, false) OR (pq2 IS NULL AND fq2 >= 97) AS settled2
   FROM (SELECT *, CASE WHEN s >= 0 AND fq IS NULL THEN pq WHEN s < 0 AND pq IS NULL THEN fq END AS moved, CASE WHEN s >= 0 AND fq IS NULL THEN ps WHEN s < 0 AND pq IS NULL THEN fs END AS was,
-      CASE WHEN s >= 0 THEN at ELSE pq END AS pq2, CASE WHEN s >= 0 THEN s ELSE ps END AS ps2, CASE WHEN s < 0 THEN at ELSE fq END AS fq2, CASE WHEN s < 0 THEN s ELSE fs END AS fs2,
+      CASE WHEN s >= 0 THEN probe ELSE pq END AS pq2, CASE WHEN s >= 0 THEN s ELSE ps END AS ps2, CASE WHEN s < 0 THEN probe ELSE fq END AS fq2, CASE WHEN s < 0 THEN s ELSE fs END AS fs2,
       CASE WHEN s >= 0 THEN floor(least(greatest(abs(s) / 0.8::DOUBLE, 1), 20)) ELSE ceil(least(greatest(abs(s) / 0.8::DOUBLE, 1), 20)) END AS jump
-    FROM (SELECT *, CAST({_SLACK.format("at")} AS DOUBLE) / 10 AS s FROM r WHERE NOT settled))))
+    FROM (SELECT *, CAST({_SLACK.format("probe")} AS DOUBLE) / 10 AS s FROM r WHERE NOT settled))))
 SELECT id, pq AS quality, CAST(probes AS BIGINT) AS probes FROM r WHERE settled""")
 def lowest_passing(spark, sf_dir):
     """Bracketing search per photo at the identical strength; every fiftieth photo passes nowhere."""
@@ -526,4 +526,4 @@ def jpeg_headers(spark, sf_dir):
     return read.select("id", "kind", "width", "height", "bits", "components", "orientation", "has_marker", "embedded", "gain_map", near.alias("near_quality"))
 
 
-from . import extra  # noqa: E402,F401  registers more queries
+from . import extra, pictures  # noqa: E402,F401  register more queries
