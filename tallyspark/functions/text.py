@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SKIP_LABELS, STRENGTHS
@@ -149,7 +149,9 @@ def unique_names(names: DataFrame, folder: str, name: str, order: str) -> DataFr
     n is the k-th number from 2 on that no literal name of the folder takes.
     """
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    ranked = names.withColumns({"__stem": stem, "__ext": ext, "__k": F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - 1})
+    from ..operators.ranks import ranked as place
+
+    ranked = place(names, [folder, name], [order], "__k").withColumns({"__stem": stem, "__ext": ext, "__k": F.col("__k") - 1})
     literal = names.select(folder, name).distinct().withColumns({"__base": F.regexp_extract(stem, r"^(.*) ([0-9]+)$", 1), "__ext": ext, "__n": F.expr(f"try_cast(regexp_extract(regexp_extract({name}, '^(.*?)([.][^.]*)?$', 1), '^(.*) ([0-9]+)$', 2) AS INT)")})
     taken = literal.filter("__n >= 2").groupBy(folder, F.col("__base").alias("__stem"), "__ext").agg(F.array_sort(F.collect_set("__n")).alias("__taken"))
     joined = ranked.join(taken, [folder, "__stem", "__ext"], "left")

@@ -12,6 +12,7 @@ from ..functions import jpeg, text
 from ..operators import blocks, decisions, ledger, maintenance, origin, search
 from ..schemas import strengths
 from ..sources import analog, journal
+from ..sources.shared import shared_dir
 from ..streaming import events as stream
 from . import views
 
@@ -31,11 +32,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 class State:
-    """The analog ledger of one folder of tables."""
+    """The analog ledger of one folder of tables, or of the sessions with these ids alone."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.files = analog.files(spark, sf_dir)
-        self.sessions = analog.sessions(spark, sf_dir, self.files)
+    def __init__(self, spark: SparkSession, sf_dir: str, ids: list[str] | None = None):
+        self.files = analog.files(spark, sf_dir, ids)
+        self.sessions = analog.sessions(spark, sf_dir, self.files, ids)
         self.backups = analog.backups(self.files, self.sessions)
         self.disk = analog.disk(self.backups)
 
@@ -112,7 +113,9 @@ sizes AS (SELECT session_id, CAST(sum(bytes) AS BIGINT) AS backup_bytes FROM v_d
 SELECT p.*, (NOT p.undone AND shown.session_id IS NOT NULL) AS comparable, coalesce(backup_bytes, 0) AS backup_bytes, origin_kind, origin_name, origin_count, origin_path
 FROM page p LEFT JOIN shown ON shown.session_id = p.id LEFT JOIN sizes ON sizes.session_id = p.id LEFT JOIN v_origin o ON o.session_id = p.id""")
 def history_overview(spark, sf_dir):
-    state = State(spark, sf_dir)
+    """A page of the history: its sessions, 10,000 at most, are found first, and only their rows are read for all else."""
+    page = [r.id for r in ledger.history_page(analog.starts(spark, sf_dir)).collect()]
+    state = State(spark, sf_dir, page)
     return ledger.history_overview(state.sessions, state.stated(), state.disk, origin.session_origins(state.files))
 
 
@@ -498,19 +501,7 @@ CAST(sum(CAST(round(value * 100) AS BIGINT) // 3) AS BIGINT) AS output_bytes, CA
 def stream_live_stats(spark, sf_dir):
     """Live statistics of the events read as a stream up to their present end."""
     rows = stream.as_file_events(stream.event_files(spark, sf_dir))
-    return stream.streamed_live_stats(rows, f"{_work(spark)}/live-{uuid.uuid4().hex}")
-
-
-def _work(spark: SparkSession) -> str:
-    """A folder that all executors see: the cluster's checkpoint folder, or in local sessions one of the driver's."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tallyspark-stream-")
+    return stream.streamed_live_stats(rows, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}")
 
 
 @query(f"""WITH {views.PHOTOS} SELECT id, kind, width, height, bits, components, orientation, has_marker, embedded, id % 4 = 0 AS gain_map,

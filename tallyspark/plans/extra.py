@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ledger, origin
+from ..operators.ranks import ranked
 from ..sources import analog
 from ..sources.files import live_partners
 from . import views
@@ -23,7 +24,7 @@ def walk_order(spark, sf_dir):
     path = F.expr(_TREE)
     rows = analog.table(spark, sf_dir, "documents").select("doc_id", "source", path.alias("path"))
     kept = rows.filter(text.media_kind(F.col("path")).isin("jpeg", "heic") & ~text.is_hidden(F.col("path")))
-    return kept.select("doc_id", "path", F.row_number().over(Window.partitionBy("source").orderBy(origin.components(F.col("path")))).cast("long").alias("place"))
+    return ranked(kept.withColumn("parts", origin.components(F.col("path"))), ["source"], ["parts"], "place").select("doc_id", "path", "place")
 
 
 _CLIP = "'/p/' || source || '/IMG_' || (doc_id // 2) || CASE WHEN doc_id % 2 = 0 THEN '.jpg' WHEN doc_id % 3 = 0 THEN '.MOV' ELSE '.mov' END"

@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per processed file: lines of an order are the files of a session."""
+def files(spark: SparkSession, sf_dir: str, ids: list[str] | None = None) -> DataFrame:
+    """One row per processed file: lines of an order are the files of a session; ids: only those of these sessions, by a filter of the scan."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
+    lines = lines if ids is None else lines.filter(F.col("l_orderkey").isin([int(i) for i in ids]))
     place = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     reasons = ", ".join(f"'{r}'" for r in REASONS)
     return (
@@ -41,9 +42,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sessions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, started_at) of all sessions, from two columns of orders."""
+    return table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as string) AS id", "unix_millis(cast(o_orderdate as timestamp)) AS started_at")
+
+
+def sessions(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, ids: list[str] | None = None) -> DataFrame:
     """One row per order; orders without lines are sessions without files."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    orders = orders if ids is None else orders.filter(F.col("o_orderkey").isin([int(i) for i in ids]))
     totals = session_summary(files(spark, sf_dir) if of is None else of)
     zero = [f"coalesce({c}, 0L) AS {c}" for c in ("photos", "optimized", "skipped", "failed", "original_bytes", "output_bytes", "saved_bytes")]
     joined = orders.selectExpr(

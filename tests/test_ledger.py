@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyspark.operators import ledger, maintenance, origin
+from tallyspark.operators.ranks import ranked
+from tallyspark.plans import catalog
 from tallyspark.schemas import SESSIONS
 from tallyspark.sources.snapshots import Ledger, write_log
 
@@ -110,3 +112,19 @@ def test_snapshots_commit_and_carry_over(spark, tmp_path):
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey = 5").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo" in plan and "o_comment" not in plan
+
+
+def test_places_in_groups_of_any_size(spark):
+    rows = [("hot", i) for i in range(700)] + [("b", i) for i in (5, 3)] + [(None, 9), (None, 8), ("c", 1)]
+    got = {(r.k, r.v): r.place for r in ranked(spark.createDataFrame(rows, "k string, v int").repartition(5), ["k"], ["v"], "place").collect()}
+    assert len(got) == len(rows) and got == {(k, v): 1 + sum(1 for kk, vv in rows if kk == k and vv < v) for k, v in rows}
+    plan = ranked(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"], "place")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(k" not in plan.split("row_number")[1].split("]")[0]
+
+
+def test_a_page_reads_only_its_sessions(spark, sf_dir):
+    page = catalog.QUERIES["history_overview"](spark, sf_dir)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert page.count() == 50 and all("In(" in s or "IN (" in s or "INSET" in s or "InSet" in s or "l_orderkey" not in s for s in scans)
+    assert all("PushedFilters: [" in s and "PushedFilters: []" not in s for s in scans)
