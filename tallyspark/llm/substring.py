@@ -3,9 +3,11 @@
 Seeds are winnowed anchors: of every ``WINNOW`` consecutive ``GRAM``-word hashes the smallest
 (the rightmost of equal ones) is kept, so every window of ``WINDOW`` = GRAM + WINNOW - 1 words
 owns exactly one anchor, and equal windows own equal anchors.  Documents meet on anchors that
-more than one of them has; there each anchor is extended both ways to the windows that own it,
-the windows' first documents are found, and runs of repeated windows are joined to maximal
-repeats.  Hot anchors and windows are counted before they are shuffled, joins on them are left
+more than one of them has.  An anchor is extended both ways by at most a window, to all the windows that own
+it, and not word by word against one other document: two texts agree over a window's words if and only if
+their windows' hashes are equal, so a match that is extended to ``WINDOW`` words or more is a run of equal
+windows, and joining the runs gives the same maximal repeats without a row for any pair of documents
+(held against word-by-word extension in the tests).  Each window's first document is found by a minimum.  Hot anchors and windows are counted before they are shuffled, joins on them are left
 to Spark's splitting of skewed partitions, and no pair of documents is ever made.
 
 A repeat is a window whose word sequence also starts in a document with a smaller doc_id.

@@ -162,6 +162,13 @@ def test_packing(spark, odd, clashing, none):
     assert packing.pack(odd.withColumn("source", F.lit(None).cast("string"))).count() == packing.pack(odd).count()
 
 
+def test_near_copies_of_a_class_keep_apart(spark):
+    docs = documents(spark, [f"{BASE} end{i}" for i in range(12)] + [prose(40 + i, 30) for i in range(40)]).withColumn("source", F.col("doc_id").cast("string"))
+    classed = docs.join(jaccard.near_duplicates(docs).select("doc_id", "class_id"), "doc_id")
+    rows = packing.pack(classed, capacity=100_000, cluster=F.col("class_id"), shard_rows=1000).collect()
+    assert len({r.bin_id for r in rows if r.doc_id < 12}) == 12 and len({r.bin_id for r in rows}) == 12
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng, bins, open_ = random.Random(5), packing.Bins(100), []
     for _ in range(400):
@@ -211,6 +218,39 @@ def test_substring_dedup(spark, odd, clashing, none, monkeypatch):
     assert again.agg(F.sum("n_removed")).first()[0] == 2 * sum(r.n_removed for r in rows.values())
 
 
+def extended(texts, window=13, gram=5):
+    """Seed and extend, word by word: spans of matches of at least ``window`` words with an earlier text."""
+    split, out = [words(t) for t in texts], []
+    places = collections.defaultdict(list)
+    for i, w in enumerate(split):
+        gone = set()
+        for p in range(len(w) - gram + 1):
+            for j, q in places[tuple(w[p : p + gram])]:
+                a = b = 0
+                while p - a > 0 and q - a > 0 and w[p - a - 1] == split[j][q - a - 1]:
+                    a += 1
+                while p + b < len(w) and q + b < len(split[j]) and w[p + b] == split[j][q + b]:
+                    b += 1
+                if a + b >= window:
+                    gone.update(range(p - a, p + b))
+        for p in range(len(w) - gram + 1):
+            places[tuple(w[p : p + gram])].append((i, p))
+        out.append(sorted(gone))
+    return out
+
+
+def test_repeats_are_those_of_word_by_word_extension(spark):
+    rng = random.Random(30)
+    passages = [prose(300 + i, rng.randrange(8, 40), 60) for i in range(12)]
+    texts = [" ".join([prose(400 + i, rng.randrange(0, 30), 60), *(rng.choice(passages) for _ in range(rng.randrange(3))), prose(500 + i, rng.randrange(0, 30), 60)]) for i in range(60)]
+    want = extended(texts)
+    got = {r.doc_id: r for r in substring.drop_repeats(documents(spark, texts)).collect()}
+    for i, gone in enumerate(want):
+        spans = [x for r in got[i].repeats for x in range(r.start, r.end)]
+        assert spans == gone and got[i].n_removed == len(gone) and all(a.end < b.start for a, b in zip(got[i].repeats, got[i].repeats[1:]))
+    assert sum(map(bool, want)) > 20
+
+
 def test_every_window_owns_an_anchor():
     rng = np.random.default_rng(3)
     grams = rng.integers(0, 50, 200).astype(np.uint64)
@@ -381,6 +421,63 @@ def test_blocks_find_the_same_links(spark, monkeypatch):
     assert {i: n for i, (_, n) in got.items()} == {i: links[i] for i in range(70)}
 
 
+def test_ngram_jaccard_finds_every_link_of_a_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet".replace("sf0.001", "sf0.01")).select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {d: frozenset(hash(x) for x in shingle_set(t)) for d, t in texts.items()}
+    holders = collections.defaultdict(list)
+    for d, found in sets.items():
+        for x in found:
+            holders[x].append(d)
+    shared = collections.Counter((a, b) for held in holders.values() for a, b in itertools.combinations(sorted(held), 2))
+    links, parent = collections.Counter(), {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    blank = [d for d, found in sets.items() if not found]
+    for a, b in [*((a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9), *itertools.combinations(sorted(blank), 2)]:
+        links[a] += 1
+        links[b] += 1
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {d: (root(d), links[d]) for d in sets} and sum(links.values()) > 200
+
+
+def test_large_groups_by_differences(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    base = prose(60, 120).split()
+    texts = []
+    for i in range(160):
+        w, rng = list(base), random.Random(6000 + i)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(120)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(documents(spark, texts)).collect()}
+    want, links = classes(texts)
+    assert got == {i: (want[i], links[i]) for i in range(len(texts))} and 0 < sum(links.values()) < 160 * 159
+
+
+def test_differences_give_the_same_links():
+    rng = np.random.default_rng(61)
+    common = np.unique(rng.integers(0, 1 << 40, 300))
+    sets = [np.unique(np.concatenate([rng.permutation(common)[: rng.integers(200, 300)], rng.integers(0, 1 << 40, rng.integers(0, 60))])) for _ in range(50)]
+    apart = [np.setxor1d(s, common) for s in sets]
+    sizes = np.array([len(s) for s in sets], float)
+    for threshold in (0.5, 0.7, 0.8):
+        assert np.array_equal(jaccard.linked(sets, threshold), jaccard.linked_by_differences(sizes, apart, threshold))
+    sigs = np.stack([(jaccard.signature(s.astype(np.uint64)) & np.uint64(255)).astype(np.uint8) for s in sets])
+    steps = jaccard.least_matches()
+    pairs = jaccard.alive_pairs(sigs, steps)
+    assert np.array_equal(pairs, pairs.T) and not pairs.diagonal().any() and pairs[jaccard.linked(sets, 0.8)].all()
+    far = rng.integers(0, 256, (300, jaccard.HASHES)).astype(np.uint8)
+    assert not jaccard.alive_pairs(far, steps).any()
+
+
 def test_pruning_keeps_similar_pairs():
     rng = np.random.default_rng(8)
     steps = jaccard.least_matches()
