@@ -8,9 +8,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,32 +62,6 @@ class OpenedPaths:
         return held
 
 
-def write_outputs(outcomes: DataFrame, in_place: bool) -> DataFrame:
-    """outcomes with the bytes of ``output`` written, over the photo or to ``destination``, and replaced by ``written`` or an error."""
-    schema = outcomes.drop("output", "destination").withColumn("written", F.lit(None).cast("string")).schema
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            written, errors = [], []
-            for row in rows.itertuples():
-                path = error = None
-                if row.status == "done":
-                    try:
-                        path = row.path if in_place else effects.export(row.path, row.destination, bytes(row.output))
-                        if in_place:
-                            effects.replace(row.path, bytes(row.output))
-                    except OSError as failed:
-                        error = str(failed)
-                written.append(path)
-                errors.append(error)
-            out = rows.drop(columns=["output", "destination"]).assign(written=written)
-            failed = pd.Series(errors, index=rows.index).notna()
-            out.loc[failed, "status"], out.loc[failed, "error"] = "failed", pd.Series(errors, index=rows.index)[failed]
-            yield out[schema.names]
-
-    return outcomes.mapInPandas(write, schema)
-
-
 def lines(rows: DataFrame) -> DataFrame:
     """One line of text per outcome, in batch order."""
     size = lambda c: bytes_text(F.col(c), 1024)
@@ -122,16 +94,17 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         print("no photos found", file=sys.stderr)
         return 1
     named = photos.join(listing.select("path", "root"), "path")
-    home = F.regexp_replace("path", "/[^/]*$", "")
-    root = F.when(F.lit(given.out is not None), F.col("root"))
-    outcomes = batch.optimize(named, asked).join(listing.select("path", "root"), "path")
+    outcomes = batch.optimize(named, asked).join(listing.select("path", "root", "ordinal"), "path")
     if given.dry_run:
-        results = outcomes.drop("output", "root").withColumn("written", F.lit(None).cast("string"))
+        results = outcomes.drop("output")
+    elif given.in_place:
+        results = effects.apply_results(outcomes.withColumn("destination", F.lit(None).cast("string")), effects.NO_BACKUP)
     else:
-        beside = F.concat(home, F.lit(f"/{FOLDER}/"), F.regexp_extract("path", "[^/]*$", 0))
-        target = beside if given.out is None else export_path(F.col("path"), root, os.path.abspath(given.out), F.lit("original"), 1)
-        results = write_outputs(outcomes.withColumn("destination", target).drop("root"), given.in_place)
-    rows = batch.with_unread(listing, results.drop("preview")).cache()
+        parent, name = F.regexp_replace("path", "/[^/]*$", ""), F.regexp_extract("path", "[^/]*$", 0)
+        beside = F.concat(parent, F.lit(f"/{FOLDER}/"), name)
+        target = beside if given.out is None else export_path(F.col("path"), F.col("root"), os.path.abspath(given.out), F.lit("original"), 1)
+        results = effects.apply_results(outcomes.withColumn("destination", target), None)
+    rows = batch.with_unread(listing, results.drop("preview", "root", "ordinal")).cache()
     for row in lines(rows).toLocalIterator():
         print(row.line, file=sys.stderr if row.status == "failed" else sys.stdout)
     end = footer(rows, given.dry_run).first()

@@ -285,11 +285,12 @@ class Gate:
         return self._stop
 
 
-def run(spark: SparkSession, paths: list[str], options: Options, on_event: Callable[[dict], None], gate: Gate | None = None, at_once: int = 256) -> list[dict]:
+def run(spark: SparkSession, paths: list[str], options: Options, on_event: Callable[[dict], None], gate: Gate | None = None, at_once: int = 256, finish: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
     """Runs a batch in slices of ``at_once`` photos and tells of its start, of every file and of its end.
 
+    finish: what is done with a slice's outcomes (with ``root`` and ``ordinal``); it returns them without their bytes.
     The quality of one slice's photos is where the search of the next begins.  After a cancellation no
-    further slice starts; its photos leave no row.  Rows come without bytes.
+    further slice starts; its photos leave no row.
     """
     listing, photos = read_photos(spark, paths)
     names = [r.path for r in listing.select("path", "ordinal").orderBy("ordinal").toLocalIterator()]
@@ -300,7 +301,10 @@ def run(spark: SparkSession, paths: list[str], options: Options, on_event: Calla
             break
         part = spark.createDataFrame([(p,) for p in names[first : first + at_once]], "path string")
         sliced = listing.join(part, "path", "left_semi")
-        found = with_unread(sliced, optimize(photos.join(part, "path", "left_semi"), options)).drop("output", "preview").orderBy("ordinal").collect()
+        outcomes = optimize(photos.join(part, "path", "left_semi"), options)
+        if finish:
+            outcomes = finish(outcomes.join(sliced.select("path", "root", "ordinal"), "path")).drop("root", "ordinal")
+        found = with_unread(sliced, outcomes.drop("output", "preview")).orderBy("ordinal").collect()
         for row in found:
             rows.append(row.asDict() | {"idx": len(rows)})
             on_event({"kind": "file", **rows[-1]})

@@ -1,6 +1,6 @@
 """Effects on photo files: atomic writes, replacement with a backup, exports that never overwrite, and guarded restoring.
 
-Plain functions on one file, and ``restore_all`` that restores the rows of a DataFrame.  Every
+Plain functions on one file, and ``apply_results`` and ``restore_all`` that run them for the rows of a DataFrame.  Every
 effect leaves either the old or the new state; temporary files go on failure; restoring what is restored already does nothing.
 """
 
@@ -15,6 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Stands for a folder of backups where photos are replaced for good.
+NO_BACKUP = ""
+
+
 def fingerprint(path: str) -> tuple[int, int]:
     """(bytes, modification time in ms, instants before 1970 as 0)."""
     stat = os.stat(path)
@@ -94,6 +98,49 @@ def convert(source: str, path: str, data: bytes, backup: str) -> str:
     return name
 
 
+def apply_results(outcomes: DataFrame, backup_dir: str | None) -> DataFrame:
+    """Outcomes (path, status, output, ordinal, destination) with the bytes of ``output`` written, and without them.
+
+    With ``backup_dir`` photos are replaced and backed up there as ``ordinal-name`` (with NO_BACKUP not at all), else written to ``destination``,
+    where nothing is overwritten.  Adds outputs (paths), backup, written and kept (fingerprints of the new file and of the backup);
+    a photo that can't be written is a failed row.  A task that runs again leaves a photo alone that has its output already.
+    """
+    mark = "struct<bytes: long, modifiedMs: long>"
+    schema = outcomes.drop("output", "destination").selectExpr("*", "cast(null AS array<string>) AS outputs", "cast(null AS string) AS backup", f"cast(null AS {mark}) AS written", f"cast(null AS {mark}) AS kept").schema
+
+    def one(row) -> tuple:
+        data = bytes(row.output)
+        if backup_dir is None:
+            return [export(row.path, row.destination, data)], None, None, None
+        if backup_dir == NO_BACKUP:
+            replace(row.path, data)
+            return [row.path], None, None, None
+        backup = f"{backup_dir}/{int(row.ordinal):05}-{os.path.basename(row.path)}"
+        with open(row.path, "rb") as current:
+            done = os.path.exists(backup) and current.read() == data
+        if not done:
+            replace(row.path, data, backup)
+        named = lambda path: dict(zip(("bytes", "modifiedMs"), fingerprint(path)))
+        return [row.path], backup, named(row.path), named(backup)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made, status, errors = [], list(rows["status"]), list(rows["error"])
+            for i, row in enumerate(rows.itertuples()):
+                made.append(([], None, None, None))
+                if row.status == "done":
+                    try:
+                        made[-1] = one(row)
+                    except OSError as failed:
+                        status[i], errors[i] = "failed", str(failed)
+            out = rows.drop(columns=["output", "destination"]).assign(status=status, error=errors)
+            for place, name in enumerate(("outputs", "backup", "written", "kept")):
+                out[name] = pd.Series([m[place] for m in made], index=rows.index, dtype=object)
+            yield out[schema.names]
+
+    return outcomes.mapInPandas(write, schema)
+
+
 def restore(original: str, backup: str, output: str | None, written: tuple[int, int] | None, kept: tuple[int, int] | None = None) -> None:
     """Puts the backup back.
 

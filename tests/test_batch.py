@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark import cli
 from tallyspark.functions import codec, jpeg, metadata
 from tallyspark.operators import batch
+from tallyspark.service import Service, Settings
 
 
 def picture(height=97, width=131, seed=0, noise=5):
@@ -226,3 +227,46 @@ def test_command_line(spark, folder, tmp_path, capsys):
     opened = cli.OpenedPaths()
     opened.push("a", "b")
     assert opened.take() == ["a", "b"] and opened.take() == []
+
+
+def test_service_optimizes_and_undoes(spark, folder, tmp_path):
+    home = tmp_path / "photos"
+    home.mkdir()
+    for name in ("a.jpg", "c.jpg", "g.jpg"):
+        (home / name).write_bytes((folder / name).read_bytes())
+    before = {p.name: p.read_bytes() for p in home.iterdir()}
+    service = Service(spark, str(tmp_path / "books"))
+    service.save_settings(Settings(strength="compact"))
+    events = []
+    assert service.get_settings().strength == "compact" and service.optimize([str(home)], events.append, now_ms=1000) == "1000"
+    assert [e["kind"] for e in events] == ["started", "file", "file", "file", "finished"]
+    found = service.session("1000")
+    summary = found["summary"]
+    assert (summary.photos, summary.optimized, summary.skipped, summary.can_undo) == (3, 1, 2, True) and summary.saved_bytes > 0
+    assert len((home / "a.jpg").read_bytes()) < len(before["a.jpg"]) and [r.original for r in found["backups"].collect()] == [str(home / "a.jpg")]
+    service.export_log("1000", str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 4
+    undone = service.undo_session("1000", str(tmp_path / "undo"))
+    assert undone == {"restored": [str(home / "a.jpg")], "kept": []} and {p.name: p.read_bytes() for p in home.iterdir()} == before
+    after = service.session("1000")["summary"]
+    assert (after.undone, after.can_undo, after.saved_bytes, after.optimized) == (True, False, 0, 0)
+    with pytest.raises(ValueError, match="undone"):
+        service.undo_session("1000", str(tmp_path / "undo2"))
+    assert service.ui_language(["de-DE", "es-MX"]) == "es"
+    service.opened.push("x")
+    assert service.take_opened_paths() == ["x"] and service.take_opened_paths() == []
+
+
+def test_changed_outputs_are_kept_at_undo(spark, folder, tmp_path):
+    home = tmp_path / "photos"
+    home.mkdir()
+    for name in ("a.jpg", "d.jpg"):
+        (home / name).write_bytes((folder / name).read_bytes())
+    service = Service(spark, str(tmp_path / "books"), Settings(strength="compact"))
+    key = service.optimize([str(home)], now_ms=2000)
+    (home / "d.jpg").write_bytes(b"changed since")
+    assert service.undo_session(key, str(tmp_path / "undo")) == {"restored": [str(home / "a.jpg")], "kept": [str(home / "d.jpg")]}
+    after = service.session(key)
+    assert (after["summary"].undone, after["summary"].can_undo) == (False, True) and [r.original for r in after["backups"].collect()] == [str(home / "d.jpg")]
+    service.settings = Settings(output_mode="export", export_dir=str(tmp_path / "out"), sizes=[{"label": "small", "mode": "long_edge", "pixels": 100}])
+    assert service.optimize([str(home / "a.jpg")], now_ms=3000) == "3000" and codec.decode((tmp_path / "out" / "a.jpg").read_bytes()).shape == (100, 93, 3)
