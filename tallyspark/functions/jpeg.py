@@ -231,11 +231,12 @@ def inspect_heif(data: bytes) -> dict | None:
     names = {brands[i : i + 4] for i in range(0, len(brands) - 3, 4) if i != 4}
     if not names & _HEIF_BRANDS:
         return None
-    out = {"primary": None, "items": {}, "sequence": bool(names & {b"hevc", b"hevx", b"msf1"}) and not names & {b"heic", b"heix", b"mif1"}, "stereo": False, "hdr": False, "references": []}
+    out = {"primary": None, "items": {}, "sequence": bool(names & {b"hevc", b"hevx", b"msf1"}) and not names & {b"heic", b"heix", b"mif1"}, "stereo": False, "hdr": False, "references": [], "properties": [], "associations": {}}
     for kind, a, b in top:
         if kind == b"meta":
             for inner, x, y in boxes(data, a + 4, b):
                 _heif_meta(data, inner, x, y, out)
+    out["hdr"] = _is_hdr(out)
     return out
 
 
@@ -257,10 +258,42 @@ def _heif_meta(data: bytes, kind: bytes, a: int, b: int, out: dict) -> None:
     elif kind == b"grpl":
         out["stereo"] = out["stereo"] or any(inner == b"ster" for inner, _, _ in boxes(data, a, b))
     elif kind == b"iprp":
-        body = data[a:b]
-        at = body.find(b"colrnclx")
-        if at >= 0 and at + 12 <= len(body):
-            out["hdr"] = int.from_bytes(body[at + 10 : at + 12], "big") in (16, 18)
+        for inner, x, y in boxes(data, a, b):
+            if inner == b"ipco":
+                out["properties"] = [(name.decode("latin-1"), data[first:end]) for name, first, end in boxes(data, x, y)]
+            elif inner == b"ipma":
+                out["associations"].update(_associations(data[x:y]))
+
+
+def _associations(body: bytes) -> dict[int, list[int]]:
+    """item -> places (from 1 on) of its properties, of an association box's body."""
+    if len(body) < 8:
+        return {}
+    wide, long, at, out = (4 if body[0] else 2), bool(body[3] & 1), 8, {}
+    for _ in range(int.from_bytes(body[4:8], "big")):
+        if at + wide + 1 > len(body):
+            break
+        item, n = int.from_bytes(body[at : at + wide], "big"), body[at + wide]
+        at += wide + 1
+        size = 2 if long else 1
+        places = [int.from_bytes(body[p : p + size], "big") & (0x7FFF if long else 0x7F) for p in range(at, min(at + n * size, len(body) - size + 1), size)]
+        out.setdefault(item, []).extend(p for p in places if p)
+        at += n * size
+    return out
+
+
+def properties_of(found: dict, item: int | None) -> list[tuple[str, bytes]]:
+    """The properties that are associated with an item; places that don't exist are left out."""
+    places = found["associations"].get(item, [])
+    return [found["properties"][p - 1] for p in places if p <= len(found["properties"])]
+
+
+def _is_hdr(found: dict) -> bool:
+    """A transfer function of wide range (PQ or HLG) on the primary item; without associations on any property."""
+    for name, body in properties_of(found, found["primary"]) if found["associations"] else found["properties"]:
+        if name == "colr" and body[:4] == b"nclx" and len(body) >= 8 and int.from_bytes(body[6:8], "big") in (16, 18):
+            return True
+    return False
 
 
 HEADER = T.StructType(

@@ -180,6 +180,25 @@ def test_heif_classification():
     assert jpeg.inspect_heif(b"") is None and jpeg.inspect_heif(photo()) is None
 
 
+def test_heif_properties_belong_to_items():
+    box = lambda kind, body: (len(body) + 8).to_bytes(4, "big") + kind + body
+    colour = lambda transfer: box(b"colr", b"nclx\0\x09" + transfer.to_bytes(2, "big") + b"\0\x09\x80")
+
+    def photo_with(items, flags=0):
+        size = 2 if flags else 1
+        rows = b"".join(item.to_bytes(2, "big") + bytes([len(places)]) + b"".join((p | 0x80 << 8 * (size - 1)).to_bytes(size, "big") for p in places) for item, places in items.items())
+        ipma = box(b"ipma", bytes([0, 0, 0, flags]) + len(items).to_bytes(4, "big") + rows)
+        props = box(b"iprp", box(b"ipco", colour(1) + colour(16) + box(b"irot", b"\1")) + ipma)
+        return box(b"ftyp", b"heic\0\0\0\0mif1") + box(b"meta", bytes(4) + box(b"pitm", bytes(4) + b"\0\1") + props)
+
+    plain, wide = jpeg.inspect_heif(photo_with({1: [1, 3], 2: [2]})), jpeg.inspect_heif(photo_with({1: [2, 3, 9]}, 1))
+    assert not plain["hdr"] and wide["hdr"] and plain["associations"] == {1: [1, 3], 2: [2]}
+    assert [n for n, _ in jpeg.properties_of(wide, 1)] == ["colr", "irot"] and jpeg.properties_of(wide, 7) == []
+    data = photo_with({1: [2]})
+    for cut in range(len(data)):
+        jpeg.inspect_heif(data[:cut])
+
+
 def test_results_decode_with_defaults(spark):
     whole = {"id": 1, "path": "/a", "name": "a", "status": "done", "originalBytes": 2, "outputBytes": 1, "outputs": [], "width": 1, "height": 1, "millis": 3}
     rows = [(json.dumps(whole),), (json.dumps({k: v for k, v in whole.items() if k != "millis"}),), ("{",), (None,)]
