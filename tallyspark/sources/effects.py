@@ -6,9 +6,11 @@ effect leaves either the old or the new state; temporary files go on failure; re
 
 from __future__ import annotations
 
+import errno
 import os
 import shutil
 import tempfile
+import time
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -33,7 +35,7 @@ def write_atomic(path: str, data: bytes) -> None:
             out.write(data)
             out.flush()
             os.fsync(out.fileno())
-        os.replace(temporary, path)
+        rename(temporary, path)
     except BaseException:
         if os.path.exists(temporary):
             os.unlink(temporary)
@@ -91,13 +93,71 @@ def convert(source: str, path: str, data: bytes, backup: str) -> str:
     name = export(source, path, data)
     try:
         os.makedirs(os.path.dirname(backup), exist_ok=True)
-        shutil.move(source, backup)
+        move(source, backup)
     except BaseException:
         os.unlink(name)
         raise
     return name
 
 
+def rename(source: str, target: str, tries: int = 8, pause: float = 0.04) -> None:
+    """A rename that waits for whoever holds one of the files, longer from try to try."""
+    for number in range(1, tries + 1):
+        try:
+            os.replace(source, target)
+            return
+        except PermissionError:
+            if number == tries:
+                raise
+            time.sleep(pause * number)
+
+
+def move(source: str, target: str) -> None:
+    """A rename, or across file systems a whole copy under a temporary name, then the source goes."""
+    try:
+        rename(source, target)
+    except OSError as error:
+        if error.errno != errno.EXDEV:
+            raise
+        copy_whole(source, target)
+        os.unlink(source)
+
+
+def copy_whole(source: str, target: str) -> None:
+    """A copy with the source's times that is there whole or not at all."""
+    handle, temporary = tempfile.mkstemp(prefix=".", suffix=".tmp", dir=os.path.dirname(target) or ".")
+    os.close(handle)
+    try:
+        shutil.copy2(source, temporary)
+        rename(temporary, target)
+    except BaseException:
+        if os.path.exists(temporary):
+            os.unlink(temporary)
+        raise
+
+
+def export_partner(video: str, photo: str) -> str | None:
+    """Copies a photo's video beside its exported file, under its own name; None if something of that name is there."""
+    target = os.path.join(os.path.dirname(photo), os.path.basename(video))
+    if os.path.exists(target):
+        return None
+    copy_whole(video, target)
+    return target
+
+
+def write_preview(folder: str, number: int, data: bytes | None) -> str | None:
+    """A preview as ``00042.jpg``; None, and no error, if it can't be written."""
+    if not data:
+        return None
+    path = os.path.join(folder, f"{number:05}.jpg")
+    try:
+        os.makedirs(folder, exist_ok=True)
+        write_atomic(path, data)
+    except OSError:
+        return None
+    return path
+
+
 def apply_results(outcomes: DataFrame, backup_dir: str | None) -> DataFrame:
     """Outcomes (path, status, output, ordinal, destination) with the bytes of ``output`` written, and without them.
 
@@ -161,7 +221,7 @@ def restore(original: str, backup: str, output: str | None, written: tuple[int,
         if not converted and written and os.path.exists(original) and fingerprint(original) != tuple(written):
             raise ValueError(f"{original} has been changed")
         os.makedirs(os.path.dirname(original), exist_ok=True)
-        shutil.move(backup, original)
+        move(backup, original)
     if converted and os.path.exists(output):
         os.unlink(output)
 

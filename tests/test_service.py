@@ -38,6 +38,48 @@ def test_export_never_overwrites_and_conversion_rolls_back(tmp_path):
     assert not [p for p in os.listdir(tmp_path) if p.endswith(".tmp")]
 
 
+def test_moves_and_copies_are_whole(tmp_path, monkeypatch):
+    source, target = str(tmp_path / "a"), str(tmp_path / "b")
+    (tmp_path / "a").write_bytes(b"x")
+    os.utime(source, (1000, 1000))
+    held, replace = [PermissionError, PermissionError], os.replace
+
+    def busy(a, b):
+        if held:
+            raise held.pop()()
+        replace(a, b)
+
+    monkeypatch.setattr(effects.os, "replace", busy)
+    effects.move(source, target)
+    assert not held and not os.path.exists(source) and open(target, "rb").read() == b"x"
+    held += [PermissionError] * 9
+    with pytest.raises(PermissionError):
+        effects.rename(target, source, tries=2, pause=0)
+    held.clear()
+    first = []
+
+    def across(a, b):
+        if not first:
+            first.append(1)
+            raise OSError(effects.errno.EXDEV, "across")
+        replace(a, b)
+
+    monkeypatch.setattr(effects.os, "replace", across)
+    effects.move(target, source)
+    assert effects.fingerprint(source) == (1, 1_000_000) and not os.path.exists(target) and not [p for p in os.listdir(tmp_path) if p.endswith(".tmp")]
+
+
+def test_partners_and_previews(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in" / "a.mov").write_bytes(b"video")
+    video, photo = str(tmp_path / "in" / "a.mov"), str(tmp_path / "out" / "a.jpg")
+    assert effects.export_partner(video, photo) == str(tmp_path / "out" / "a.mov") and effects.export_partner(video, photo) is None
+    assert effects.write_preview(str(tmp_path / "p"), 42, b"jpeg").endswith("/00042.jpg") and effects.write_preview(str(tmp_path / "p"), 1, None) is None
+    (tmp_path / "file").write_bytes(b"")
+    assert effects.write_preview(str(tmp_path / "file"), 1, b"x") is None
+
+
 def test_restoring_twice_and_after_a_stop(spark, tmp_path, monkeypatch):
     original, output, backup = (str(tmp_path / n) for n in ("a.heic", "a.jpg", "bk/0-a.heic"))
     os.mkdir(tmp_path / "bk")
