@@ -4,8 +4,8 @@ Texts with equal sets of word shingles are one class from the start, stood for b
 Signatures of ``HASHES`` MinHash values are cut into bands; texts that share a band meet in a
 bucket.  Pairs of small buckets are compared value by value, ``STEP`` at a time, and dropped
 as soon as the posterior probability of reaching the threshold falls below ``TOLERANCE``;
-large buckets are kept whole at first.  What is left joins texts to candidate groups, and in each group
-the pairs that survive the same comparison of MinHash values are verified exactly.  A large group
+large buckets are kept whole at first.  What is left joins texts to candidate groups; in groups that may hold
+a large bucket all pairs go through the same comparison of MinHash values, and what survives is verified exactly.  A large group
 meets block by block (at most ``BLOCK`` texts a side); there a text is stood for by its signature and the
 shingles in which it differs from the group's first text, few where texts are near copies:
 sets that differ from a third one by d and e differ from each other by the symmetric difference of d and e.
@@ -310,25 +310,26 @@ def _near_duplicates(base: DataFrame, threshold: float) -> DataFrame:
     sized = groups.join(stand.select("rid", "n"), groups["node"] == F.col("rid")).groupBy("label").agg(F.count("*").alias("texts"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = (
-        groups.join(sized.select("label", blocks.alias("blocks")), "label").join(reps, groups["node"] == reps["rid"])
-        .select("rid", "label", "copies", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"))
+        groups.join(sized.select("label", "texts", blocks.alias("blocks")), "label").join(reps, groups["node"] == reps["rid"])
+        .select("rid", "label", "copies", "texts", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"))
     )
     dealt = materialize(dealt)
     tasks = max(1, -(-dealt.filter("blocks = 1").count() // TASK))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.xxhash64("label", "i", "j").bitwiseOR(F.lit(1 << 40)))
     texts, members_of = base.select("rid", "text"), "rid long, label long, copies long, blocks int, block int"
     whole = (
-        dealt.filter("blocks = 1").join(texts, "rid").select("rid", "label", "copies", "blocks", "block", "text")
+        dealt.filter(F.col("texts") <= SMALL).join(texts, "rid").select("rid", "label", "copies", "blocks", "block", "text")
         .mapInArrow(_with_shingles, f"{members_of}, size long, shingles array<long>").withColumn("sig", F.lit(None).cast("binary"))
     )
-    # each block of a large group gets the shingles of the group's first text, so no join key has more rows than a block
+    # only groups of more than SMALL texts can hold a bucket whose pairs weren't compared; each block of one gets the shingles of the group's first text, so no join key has more rows than a block
+    compared = dealt.filter(F.col("texts") > SMALL)
     leads = (
-        dealt.filter("blocks > 1 and rid = label").join(texts, "rid").select("label", "blocks", "text")
+        compared.filter("rid = label").join(texts, "rid").select("label", "blocks", "text")
         .mapInArrow(_with_shingles, "label long, blocks int, size long, shingles array<long>")
         .select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("shingles").alias("lead"))
     )
     large = (
-        dealt.filter("blocks > 1").join(texts, "rid").join(stand.select("rid", "sig"), "rid").join(leads, ["label", "block"])
+        compared.join(texts, "rid").join(stand.select("rid", "sig"), "rid").join(leads, ["label", "block"])
         .select("rid", "label", "copies", "blocks", "block", "sig", "lead", "text")
         .mapInArrow(_with_shingles, f"{members_of}, sig binary, size long, shingles array<long>")
     )
