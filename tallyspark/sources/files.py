@@ -2,7 +2,7 @@
 
 Unlike Spark's file sources it keeps names that start with an underscore and doesn't follow
 links: hidden names, links and other extensions are skipped below a folder, loose files always
-stay.  Each folder that is asked for is a partition, and rows come out in path order.
+stay.  Each folder right below one that is asked for is a partition, and rows come out in path order.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ SUFFIXES = (".jpg", ".jpeg", ".jpe", ".jfif", ".heic", ".heif", ".hif")
 SCHEMA = "path string, root string, bytes long, modified_ms long, ordinal long"
 
 
-class _Folder(InputPartition):
-    def __init__(self, path: str, first: int):
-        self.path, self.first = path, first
+class _Part(InputPartition):
+    """Paths that are listed by one task, in order: files, or folders to be walked."""
+
+    def __init__(self, paths: list[str], root: str | None, first: int):
+        self.paths, self.root, self.first = paths, root, first
 
 
 class PhotoListing(DataSource):
@@ -43,31 +45,49 @@ class _Reader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
-        return [_Folder(p, n << 40) for n, p in enumerate(self.paths)]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        if os.path.isdir(partition.path):
-            found = walk(partition.path)
-        else:
-            found = iter([partition.path] if os.path.isfile(partition.path) else [])
-        root = partition.path if os.path.isdir(partition.path) else None
-        for n, path in enumerate(found):
-            stat = os.stat(path)
-            yield path, root, stat.st_size, max(0, stat.st_mtime_ns // 1_000_000), partition.first + n
+        """Each folder directly below one that is asked for is a task of its own, and so are the files between two of them."""
+        parts: list[tuple[list[str], str | None]] = []
+        for path in self.paths:
+            if not os.path.isdir(path):
+                parts.append(([path], None))
+                continue
+            files: list[str] = []
+            for entry in _entries(path):
+                if entry.is_dir():
+                    parts += [(files, path)] if files else []
+                    parts.append(([entry.path], path))
+                    files = []
+                else:
+                    files.append(entry.path)
+            parts += [(files, path)] if files else []
+        return [_Part(paths, root, n << 40) for n, (paths, root) in enumerate(parts)]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        n = 0
+        for path in partition.paths:
+            for found in walk(path) if os.path.isdir(path) else [path]:
+                if os.path.isfile(found):
+                    stat = os.stat(found)
+                    yield found, partition.root, stat.st_size, max(0, stat.st_mtime_ns // 1_000_000), partition.first + n
+                    n += 1
+
+
+def _entries(folder: str) -> list[os.DirEntry]:
+    """Folders and photos of a folder by name, without hidden names and links; none if it can't be read."""
+    try:
+        found = sorted(os.scandir(folder), key=lambda e: os.fsencode(e.name))
+    except OSError:
+        return []
+    shown = [e for e in found if not e.name.startswith(".") and not e.is_symlink()]
+    return [e for e in shown if e.is_dir() or e.name.lower().endswith(SUFFIXES)]
 
 
 def walk(folder: str) -> Iterator[str]:
     """Photos below a folder, entries of each directory by name, depth first; unreadable directories yield nothing."""
-    try:
-        entries = sorted(os.scandir(folder), key=lambda e: os.fsencode(e.name))
-    except OSError:
-        return
-    for entry in entries:
-        if entry.name.startswith(".") or entry.is_symlink():
-            continue
+    for entry in _entries(folder):
         if entry.is_dir():
             yield from walk(entry.path)
-        elif entry.name.lower().endswith(SUFFIXES):
+        else:
             yield entry.path
 
 
