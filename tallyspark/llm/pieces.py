@@ -17,6 +17,7 @@ import codecs
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,8 +29,11 @@ from pyspark.sql import types as T
 from .common import small_batches, without
 
 MARK = "▁"
-#: Segments remembered by one Python worker; the table is emptied when full.
-REMEMBERED = 400_000
+#: Words remembered by one Python worker in either of two tables; the older one goes when the newer one is full.
+REMEMBERED = 600_000
+#: Longest segment whose agenda is a plain list, and bits of a symbol in the code of a pair.
+SHORT, CODE_BITS = 24, 24
+CODE_MASK, NOTHING = (1 << CODE_BITS) - 1, 1 << 62
 #: One text in so many of each batch is held against the library: all of them.
 CHECK_EVERY = 1
 
@@ -38,6 +42,17 @@ CHECK_EVERY = 1
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
+class Codes(dict):
+    """Codes of symbols: a piece's id, or for a character that is no piece its number behind all ids."""
+
+    def __init__(self, ids: dict[str, int], size: int):
+        super().__init__(ids)
+        self.size = size
+
+    def __missing__(self, character: str) -> int:
+        return self.size + ord(character)
+
+
 class MergeCodec:
     """Ids of texts as the library gives them, without begin and end ids."""
 
@@ -45,7 +60,7 @@ class MergeCodec:
         import sentencepiece
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model)
-        size = lib.vocab_size()
+        self.size = size = lib.vocab_size()
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
@@ -57,6 +72,16 @@ class MergeCodec:
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         best = {score: n for n, score in enumerate(sorted({*self.scores.values()}, reverse=True))}
         self.ranks = {piece: best[score] for piece, score in self.scores.items() if len(piece) > 1}
+        self.codes = Codes(self.ids, size)
+        # a pair's code to the merged symbol, the better score first; not for pieces that share a score, whose ties go by place
+        having, self.pairs = Counter(self.scores[p] for p in self.ranks), {}
+        self.tied = {p[:2] for p in self.ranks if having[self.scores[p]] > 1}
+        for piece, rank in self.ranks.items():
+            for k in range(1, len(piece)) if having[self.scores[piece]] == 1 else ():
+                left, right = piece[:k], piece[k:]
+                if all(len(x) == 1 or x in self.ids for x in (left, right)):
+                    self.pairs[self.codes[left] << CODE_BITS | self.codes[right]] = rank << CODE_BITS | self.ids[piece]
+        self.ties = re.compile("|".join(map(re.escape, sorted(self.tied))) or "(?!)").search
         shown = [p.replace(MARK, " ") for p in self.pieces]
         self.shown = [None if i in self.byte_of or i in self.hidden or i == self.unknown else p for i, p in enumerate(shown)]
         self.odd = np.array([p is None for p in self.shown])
@@ -64,8 +89,29 @@ class MergeCodec:
         self.older: dict[str, bytes] = {}
         self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    def merge_short(self, segment: str) -> list[int]:
+        """The same agenda as a list that is searched for its best entry: quicker for a few symbols."""
+        symbols = list(map(self.codes.__getitem__, segment))
+        pair, last = self.pairs.get, len(symbols) - 1
+        agenda = [pair(a << CODE_BITS | b, NOTHING) for a, b in zip(symbols, symbols[1:])]
+        while last > 0 and (best := min(agenda)) != NOTHING:
+            at = agenda.index(best)
+            symbols[at] = best & CODE_MASK
+            del symbols[at + 1], agenda[at]
+            last -= 1
+            if at:
+                agenda[at - 1] = pair(symbols[at - 1] << CODE_BITS | symbols[at], NOTHING)
+            if at < last:
+                agenda[at] = pair(symbols[at] << CODE_BITS | symbols[at + 1], NOTHING)
+        if max(symbols, default=0) < self.size:
+            return symbols
+        spelled = lambda c: [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+        return [i for s in symbols for i in ([s] if s < self.size else spelled(chr(s - self.size)))]
+
     def merge(self, segment: str) -> list[int]:
         """Agenda of adjacent pairs: the best score first, ties to the left; entries of pairs that have changed since are skipped."""
+        if len(segment) <= SHORT and not self.ties(segment):
+            return self.merge_short(segment)
         ranks, symbols = self.ranks, list(segment)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -111,11 +157,9 @@ class MergeCodec:
         if not self.splits:
             return array("i", self.merge(shown)).tobytes()
         if MARK + MARK in shown or not shown.startswith(MARK):
-            segments = self.segments.findall(shown)
-        else:
-            segments = [MARK + s for s in shown[1:].split(MARK)]
+            return b"".join([array("i", self.merge(s)).tobytes() for s in self.segments.findall(shown)])
         known = self.known.get
-        return b"".join([known(s) or self.remembered(s) for s in segments])
+        return b"".join([known(word) or self.remembered(word) for word in shown[1:].split(MARK)])
 
     def checked(self, text: str, check: bool = True) -> tuple[bytes, str]:
         """(ids as 32-bit integers, decoded text), held against the library."""
@@ -127,12 +171,12 @@ class MergeCodec:
                 raise ValueError(f"ids differ from the library's for {text[:80]!r}")
         return raw, decoded
 
-    def remembered(self, segment: str) -> bytes:
-        """Ids of a segment that is not in ``known``, where it is kept from now on."""
-        ids = self.known.get(segment) or self.older.get(segment) or array("i", self.merge(segment)).tobytes()
+    def remembered(self, word: str) -> bytes:
+        """Ids of a word behind one mark that is not in ``known``, where it is kept from now on."""
+        ids = self.older.get(word) or array("i", self.merge(MARK + word)).tobytes()
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
-        self.known[segment] = ids
+        self.known[word] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
