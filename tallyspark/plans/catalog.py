@@ -383,7 +383,7 @@ t AS (SELECT vec_id, coef, {_SCALED.format(base=views.LUMA_LIST, scale=f"({_SCAL
 m AS (SELECT *, list_transform(generate_series(1, 64), lambda i: least(greatest(target[i], source[i], 1), 255)) AS merged FROM t)
 SELECT vec_id, array_to_string(list_transform(generate_series(1, 64), lambda i: sign(coef[i]) * ((abs(coef[i]) * source[i] * 2 + merged[i]) // (2 * merged[i]))), ',') AS levels FROM m""")
 def requantize(spark, sf_dir):
-    rows = analog.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("coef"), (1 + F.col("vec_id") % 100).cast("int").alias("q"))
+    rows = analog.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int")).alias("coef"), (1 + F.col("vec_id") % 100).cast("int").alias("q"))
     steps = rows.withColumns({"target": blocks.scaled_table(F.col("q")), "source": blocks.scaled_table(F.lit(90))}).withColumn("merged", blocks.merge_steps(F.col("target"), F.col("source")))
     return steps.select("vec_id", F.concat_ws(",", blocks.requantize(F.col("coef"), F.col("source"), F.col("merged")).cast("array<string>")).alias("levels"))
 

@@ -31,6 +31,17 @@ def test_matches_sql(spark, sf_dir, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, found.fetchall())
 
 
+def test_coefficients_are_rounded_from_single_precision(spark, tmp_path):
+    """Thousandths that lie on a half in single precision and just below it in double."""
+    halves = [((2 * i - 6399) / 2000) for i in range(6400)]
+    rows = [(i, halves[64 * i : 64 * i + 64], 0) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = [tuple(r) for r in catalog.QUERIES["requantize"](spark, str(tmp_path)).select("vec_id", "levels").collect()]
+    assert sorted(got) == sorted(con.execute(catalog.ORACLES["requantize"]).fetchall())
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
