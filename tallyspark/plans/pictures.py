@@ -16,6 +16,12 @@ from . import views
 from .catalog import State, query
 
 
+def _suppliers(spark, sf_dir):
+    """Ids of suppliers, in four tasks a core by their hashes: one small file of ids makes hours of work on pixels."""
+    rows = analog.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "id")
+
+
 def _made(number: int, kind: int) -> bytes:
     """A small photo of which it is known how the batch ends: see ``batch_outcomes``."""
     if kind == 0:
@@ -49,7 +55,7 @@ def batch_outcomes(spark, sf_dir):
         for rows in batches:
             yield pd.DataFrame({"path": rows["id"].astype(str), "content": [_made(int(i), int(i) % 10) for i in rows["id"]]})
 
-    photos = analog.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).mapInPandas(make, "path string, content binary")
+    photos = _suppliers(spark, sf_dir).mapInPandas(make, "path string, content binary")
     done = F.col("status") == "done"
     return batch.optimize(photos).select(
         F.col("path").cast("long").alias("id"), "status", "skip_reason", F.col("error").isNotNull().alias("has_error"), (F.col("output_bytes") < F.col("original_bytes")).alias("smaller"), "width", "height",
@@ -69,12 +75,13 @@ def codec_roundtrip(spark, sf_dir):
                 data = _made(int(i), 9)
                 image = codec.read(data)
                 again, coarse = codec.transcode(data), codec.requantized(image, 70)
-                back = codec.decode(codec.encode(codec.pixels(image), 99, (1, 1)))
+                pixels = codec.pixels(image)
+                back = codec.decode(codec.encode(pixels, 99, (1, 1)))
                 steps = all((coarse.tables[c.slot] >= image.tables[c.slot]).all() for c in image.components)
-                out.append((int(i), image.width, image.height, again == data, np.array_equal(codec.decode(again), codec.pixels(image)), steps, bool(np.abs(back.astype(int) - codec.pixels(image)).mean() < 2)))
+                out.append((int(i), image.width, image.height, again == data, np.array_equal(codec.decode(again), pixels), steps, bool(np.abs(back.astype(int) - pixels).mean() < 2)))
             yield pd.DataFrame(out, columns=["id", "width", "height", "same_file", "same_pixels", "coarser", "near"])
 
-    return analog.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).mapInPandas(check, schema)
+    return _suppliers(spark, sf_dir).mapInPandas(check, schema)
 
 
 # segments: photos have five, of which some don't go on

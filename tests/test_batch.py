@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark import cli
 from tallyspark.functions import codec, jpeg, metadata
 from tallyspark.operators import batch
+from tallyspark.plans import catalog
 from tallyspark.service import Service, Settings
 
 
@@ -55,6 +56,21 @@ def test_codec_reads_restart_intervals_and_odd_codes():
     assert all(np.array_equal(codec.read(codec.write(s)).components[0].blocks, s.components[0].blocks) for s in single)
 
 
+def test_codec_goes_through_long_scans_in_windows(monkeypatch):
+    image = codec.read(codec.encode(picture(70, 90), 97, (2, 1)))
+    data = codec.write(image)
+    for window, packed in ((1, 1), (100, 333)):
+        monkeypatch.setattr(codec, "WINDOW", window)
+        monkeypatch.setattr(codec, "PACKED", packed)
+        assert codec.write(image) == data
+        assert all(np.array_equal(a.blocks, b.blocks) for a, b in zip(codec.read(data).components, image.components))
+
+
+@pytest.mark.parametrize("name", ["codec_roundtrip", "batch_outcomes"])
+def test_photos_of_one_small_file_are_worked_on_in_many_tasks(spark, sf_dir, name):
+    assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_codec_is_closed_against_hostile_bytes():
     data = photo()
     rng = np.random.default_rng(3)
