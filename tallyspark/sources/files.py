@@ -60,7 +60,8 @@ class _Reader(DataSourceReader):
                 else:
                     files.append(entry.path)
             parts += [(files, path)] if files else []
-        return [_Part(paths, root, n << 40) for n, (paths, root) in enumerate(parts)]
+        # without any partition Spark would ask for the rows of None
+        return [_Part(paths, root, n << 40) for n, (paths, root) in enumerate(parts or [([], None)])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         n = 0
