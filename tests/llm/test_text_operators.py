@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pytest
@@ -636,6 +637,28 @@ def test_pieces_match_the_library(spark, odd, clashing, none, model):
     assert pieces.encode_texts(none, model).count() == 0 and rows[0].n_tokens == rows[1].n_tokens == 0
 
 
+def test_new_words_are_merged_side_by_side(model, monkeypatch):
+    made, rng = pieces.MergeCodec(model), random.Random(4)
+    alphabet = [*"abcdefghijklmnopqrstuvwxyz", *"ABÄéê中😀.,\n\x00", "ing", "ten", "schaft", *made.tied]
+    words = sorted({"", "a", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 26))) for _ in range(3000))})
+    want = {w: array("i", made.merge(pieces.MARK + w)).tobytes() for w in words}
+    assert made.merge_many(words) == want and made.merge_many([]) == {}
+    # texts of one part, with tables that change places between and behind them
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    monkeypatch.setattr(pieces, "AT_ONCE", 400)
+    texts = [" ".join(rng.choice(words).strip("\n\x00") for _ in range(30)) for _ in range(40)] + ["", " two  marks", "x" * 500]
+    parts = list(pieces._parts(texts))
+    assert sum(parts, []) == texts and len(parts) > 1
+    for part in parts:
+        made.learn(part)
+        for text in part:
+            assert made.checked(text)[0] == array("i", made.library.encode(text)).tobytes()
+    made = pieces.MergeCodec(model)
+    monkeypatch.setattr(made, "merge_short", lambda segment: pytest.fail("a word is merged by itself"))
+    made.learn(["plain words that nobody has met"])
+    assert made.checked("plain words that nobody has met")[1] == "plain words that nobody has met"
+
+
 def test_every_text_is_held_against_the_library(spark, model, monkeypatch):
     made = pieces.codec(model)
     monkeypatch.setattr(made, "encode_bytes", lambda t: b"" if t == "wrong" else pieces.MergeCodec.encode_bytes(made, t))
